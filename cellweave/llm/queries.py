@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, packing
+from . import html, lines, minhash, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def tokenizer_args() -> dict:
     return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = minhash.near_components(table(spark, sf_dir, "documents"), minhash.Scheme(shingle_words=2, percent=80))
+    return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), **tokenizer_args())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -50,6 +55,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
     "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
