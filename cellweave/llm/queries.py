@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, lines, minhash, packing
+from . import html, langid, lines, minhash, packing, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,25 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def remainder(column: str, n: int):
+    """crc32 of an id's text, modulo n: what the contracts split rows by."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs, remainder("doc_id", 4) != 2)
+    done = langid.predict(docs, net, ["doc_id"])
+    return done.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    done = toxicity.segment_scores(docs, model, ["doc_id"])
+    return done.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), **tokenizer_args())
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -56,6 +75,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
