@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, langid, lines, minhash, packing, toxicity
+from . import decontaminate, html, langid, lines, minhash, packing, spans, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,16 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that loses sentences and document that first has them."""
+    done = spans.repeated_spans(table(spark, sf_dir, "documents"))
+    return done.groupBy("doc_id", "first_doc_id").agg(F.min("start").alias("first_sentence"), F.max("stop").alias("end_sentence"), F.count("*").alias("n_spans"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def remainder(column: str, n: int):
     """crc32 of an id's text, modulo n: what the contracts split rows by."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
@@ -75,6 +85,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
