@@ -64,7 +64,7 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -36,7 +36,7 @@ class RunStore:
         self._made += 1
         name = f"cellweave_{kind}_{self._tag}_{self._made}"
         path = shared_path(self.spark, name)
-        (df.repartition(self.buckets, *KEY).write.format("parquet").option("path", path).option("compression", "zstd")
+        (df.repartition(self.buckets, *KEY).write.format("parquet").option("path", path)
          .bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name))
         return name, path
 
