@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, lines, minhash, packing, spans, toxicity
+from . import ann, decontaminate, html, langid, lines, minhash, packing, secrets, spans, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secrets.scan(table(spark, sf_dir, "documents"), secrets.findings_table(spark))
+    return done.select("doc_id", "position", "secret", "path", F.round("probability", 6).alias("probability"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document that loses sentences and document that first has them."""
     done = spans.repeated_spans(table(spark, sf_dir, "documents"))
@@ -59,6 +64,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -85,11 +94,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op2_secret_scan": op2_secret_scan,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
