@@ -34,8 +34,8 @@ FEATURES = ["length", "digits", "upper", "lower", "symbols", "distinct", "class_
 
 @dataclass(frozen=True)
 class Config:
-    trees: int = 24
-    depth: int = 6
+    trees: int = 16
+    depth: int = 5
     least_leaf: int = 4
     #: The forest learns from at most this many findings of each label, by hash of the finding.
     rows_per_label: int = 4_000
@@ -86,7 +86,9 @@ def features(found: DataFrame) -> DataFrame:
         "prefix": yes(c, "^(AKIA|ASIA|gh[pousr]_|github_pat_|sk_live|sk-|xox[bap]-|AIza|eyJ|glpat-|npm_)"),
         "separators": per(r"[-_./]"),
     }
-    return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in columns.items()})
+    # through a generator: else the optimizer would repeat each feature wherever a tree asks for it
+    row = F.struct(*(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in columns.items()))
+    return found.withColumn("f", F.explode(F.array(row))).select(*found.columns, "f.*")
 
 
 def labelled_findings(n: int = 3_000, seed: int = 2) -> list[tuple[str, str, str, str, int]]:
@@ -194,7 +196,8 @@ def scan(docs: DataFrame, findings: DataFrame, config: Config = Config(), path:
     A null path counts as empty. Other columns are ignored.
     """
     trees = fit(findings, config)
-    scored = features(candidates(docs, path)).withColumn("probability", forest_column(trees))
+    # few rows are left here; dealt out anew, so that the forest's large expression has a stage of its own
+    scored = features(candidates(docs, path).repartition("doc_id", "position")).withColumn("probability", F.explode(F.array(forest_column(trees))))
     return scored.where(F.col("probability") >= config.least_probability).select("doc_id", "position", F.col("candidate").alias("secret"), "path", "probability")
 
 
