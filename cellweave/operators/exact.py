@@ -87,8 +87,9 @@ def checksum(df: DataFrame, value: str, keys: list[str] | None = None, mask_valu
     if mask_value is not None:
         df = df.where(F.col(value) != mask_value)
     bits = raw_bits(F.col(value)) if dict(df.dtypes)[value] in ("double", "float") else F.col(value).cast("long")
-    total = F.coalesce(F.sum(bits.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-    m = F.lit(2**64).cast("decimal(38,0)")
+    df = df.withColumn("__bits", bits.cast("decimal(38,0)"))
+    total = F.coalesce(F.sum("__bits"), F.lit(0).cast("decimal(38,0)"))
+    m = F.lit(str(2**64)).cast("decimal(38,0)")
     low = F.pmod(total, m)
-    wrapped = F.when(low >= F.lit(2**63).cast("decimal(38,0)"), low - m).otherwise(low).cast("long").alias(into)
+    wrapped = F.when(low >= F.lit(str(2**63)).cast("decimal(38,0)"), low - m).otherwise(low).cast("long").alias(into)
     return df.groupBy(*keys).agg(wrapped) if keys else df.agg(wrapped)
