@@ -43,21 +43,29 @@ def _description(data: Lattice, unlimited: list[str]) -> str:
     return json.dumps({"sizes": meta.sizes, "labelled": sorted(meta.labelled), "attrs": meta.attrs, "var_attrs": meta.var_attrs, "encoding": meta.encoding, "unlimited": unlimited, "groups": groups}, indent=1)
 
 
-def write(data: Lattice, path: str, *, dim: str = "auto", partitions: int | None = None, unlimited: list[str] | None = None) -> None:
-    """Write all variables, in slabs of one dimension; an existing store is replaced."""
-    if unknown := set(unlimited or ()) - set(data.sizes):
-        raise ValueError(f"no dimensions {sorted(unknown)}")
+def _merged(data: Lattice) -> list[Group]:
+    """One group per tuple of dimensions."""
     by_dims: dict[tuple[str, ...], list[Group]] = {}
     for g in data._groups:
         by_dims.setdefault(g.dims, []).append(g)
-    spark, told = None, []
+    out = []
     for dims, groups in by_dims.items():
         df = groups[0].frame()
         for more in groups[1:]:
-            extra = more.frame()
-            df = df.join(extra.drop(*dims), [pos(d) for d in dims]) if dims else df.crossJoin(extra)
+            df = df.join(more.frame().drop(*dims), [pos(d) for d in dims]) if dims else df.crossJoin(more.frame())
+        out.append(Group.of(dims, df, [n for g in groups for n in g.exprs], {n: k for g in groups for n, k in g.kinds.items()}))
+    return out
+
+
+def write(data: Lattice, path: str, *, dim: str = "auto", partitions: int | None = None, unlimited: list[str] | None = None) -> None:
+    """Write all variables, in slabs of one dimension; an existing store is replaced."""
+    if unknown := set(unlimited or ()) - set(data.sizes):
+        raise ValueError(f"no dimensions {sorted(unknown)}")
+    spark, told = None, []
+    for g in _merged(data):
+        dims, df = g.dims, g.df
         spark = df.sparkSession
-        told.append(Group.of(dims, df, [n for g in groups for n in g.exprs], {n: k for g in groups for n, k in g.kinds.items()}))
+        told.append(g)
         if dims:
             slab = data.partition_dim() if dim == "auto" else dim
             slab = slab if slab in dims else max(dims, key=lambda d: data.sizes[d])
@@ -95,7 +103,7 @@ def append(data: Lattice, path: str, dim: str = "time") -> None:
         if dim in g["dims"]:
             if missing := set(g["variables"]) - names:
                 raise ValueError(f"the data lack {sorted(missing)}")
-            own = next(x for x in data._groups if set(g["variables"]) <= set(x.exprs))
+            own = next(x for x in _merged(data) if set(g["variables"]) <= set(x.exprs))
             there = spark.read.parquet(f"{path}/{_folder(tuple(g['dims']))}")
             df = own.frame().withColumn(pos(dim), F.col(pos(dim)) + old)
             df.select(*(F.col(f.name).cast(f.dataType) for f in there.schema.fields)).write.mode("append").parquet(f"{path}/{_folder(tuple(g['dims']))}")
