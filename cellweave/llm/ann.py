@@ -69,6 +69,8 @@ class Index:
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     distinct = np.unique(x, axis=0)
     c = distinct[rng.choice(len(distinct), min(k, len(distinct)), replace=False)].copy()
     for _ in range(rounds):
@@ -102,7 +104,7 @@ def fit(vectors: DataFrame, n: int, config: Config) -> Index:
     x = _unit(np.array([r["v"] for r in rows], float))
     half = max(1, x.shape[1] // 2)
     rng = np.random.default_rng(config.seed)
-    return Index(half, (_kmeans(x[:, :half], config.centroids, config.rounds, rng), _kmeans(x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 1)), config.centroids, config.rounds, rng)))
+    return Index(half, (_kmeans(x[:, :half], config.centroids, config.rounds, rng), _kmeans(x[:, half:], config.centroids, config.rounds, rng)))
 
 
 def _best(ids: np.ndarray, v: np.ndarray, norms: np.ndarray, qid: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:

@@ -1,0 +1,267 @@
+"""Decontamination, secrets, language, toxicity, packing and HTML."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cellweave.llm import decontaminate, html, langid, packing, secrets, toxicity
+from cellweave.llm.queries import remainder, tokenizer_args
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.01"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, lang, "src", 0) for i, t, lang in rows], DOC).repartition(3)
+
+
+def some(n, seed, most=4000):
+    r = random.Random(seed)
+    return [f"w{r.randrange(most)}" for _ in range(n)]
+
+
+# -- decontamination ------------------------------------------------------------
+
+
+def brute_overlaps(rows, items, seeds):
+    """Every overlay at which a mask's words agree, judged word by word."""
+    norm = lambda t: "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
+    out = set()
+    longest = max(map(len, seeds.masks))
+    for item, text in items:
+        b = norm(text)
+        m = len(b)
+        if item is None or m < seeds.least_words:
+            continue
+        masks = seeds.masks if m >= longest else ["1" * m]
+        for doc, t in rows:
+            w = norm(t)
+            if doc is None:
+                continue
+            for start in range(-m, len(w)):
+                agree = [0 <= start + k < len(w) and w[start + k] == b[k] for k in range(m)]
+                if not any(all(agree[j + i] for i, c in enumerate(x) if c == "1") and start + j >= 0 for x in masks for j in range(m - len(x) + 1)):
+                    continue
+                run = best = 0
+                for a in agree:
+                    run = max(0, run + (1 if a else -seeds.penalty))
+                    best = max(best, run)
+                if sum(agree) >= np.ceil(m * seeds.least_share) or best >= seeds.least_stretch:
+                    out.add((doc, item))
+    return out
+
+
+def test_overlaps(spark):
+    r = random.Random(3)
+    items = [(i, " ".join(some(r.randrange(10, 50), 100 + i))) for i in range(8)] + [(8, "tiny item of five"), (9, "too short"), (10, None), (None, "w1 w2 w3 w4 w5"), (11, " ".join(["the"] * 12))]
+    rows = []
+    for i in range(30):
+        w = some(80, i)
+        if i % 3 == 0:
+            b = items[i % 8][1].split()
+            for k in range(len(b)):
+                if r.random() < (i % 4) * 0.06:
+                    b[k] = "changed"
+            w[40:40] = [x.upper() + r.choice(["", ",", "!"]) for x in b]
+        if i % 7 == 1:
+            w[10:10] = items[i % 8][1].split()[:6]  # a short quotation
+        rows.append((i, " ".join(w)))
+    rows += [(30, None), (31, ""), (32, "Tiny item of FIVE."), (None, items[0][1]), (33, items[0][1]), (33, items[0][1]), (34, " ".join(some(20_000, 8) + items[1][1].split())), (35, "the " * 40)]
+    seeds = decontaminate.Seeds()
+    df = docs(spark, [(i, t, "en") for i, t in rows])
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
+    want = brute_overlaps(rows, items, seeds)
+    got = decontaminate.overlaps(df, bench, seeds).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want and len(got) == len(want)
+    assert {33, 34, 32, 35} <= {d for d, _ in want} and not {31, 1, 8} & {d for d, _ in want}
+    shuffled = decontaminate.overlaps(df, bench, decontaminate.Seeds(broadcast_seeds=0))
+    assert {(x["doc_id"], x["item_id"]) for x in shuffled.collect()} == want
+    left = decontaminate.decontaminate(df, bench, seeds)
+    assert left.columns == df.columns and {x["doc_id"] for x in left.select("doc_id").collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    assert decontaminate.overlaps(df.limit(0), bench).count() == 0 and decontaminate.overlaps(df, bench.limit(0)).count() == 0
+
+
+# -- secrets -----------------------------------------------------------------------
+
+
+def test_forest_and_scan(spark):
+    known = secrets.labelled_findings(2400, seed=11)
+    trees = secrets.fit(spark.createDataFrame(known[:1600], secrets.FINDINGS))
+    held = secrets.features(spark.createDataFrame(known[1600:], secrets.FINDINGS)).withColumn("p", secrets.forest_column(trees)).select("label", "p").collect()
+    assert np.mean([(x["p"] >= 0.5) == x["label"] for x in held]) >= 0.95
+
+    def by_hand(tree, row):
+        while not isinstance(tree, float):
+            f, t, low, high = tree
+            tree = low if row[secrets.FEATURES[f]] <= t else high
+        return tree
+
+    rows = secrets.features(spark.createDataFrame(known[:50], secrets.FINDINGS)).withColumn("p", secrets.forest_column(trees)).collect()
+    assert all(abs(x["p"] - np.mean([by_hand(t, x) for t in trees])) < 1e-12 for x in rows)
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [(1, f'words before token = "{key}" words after', "en"), (2, f"merged in commit {key} last week", "en"), (3, "nothing here but internationalisation", "en"), (4, None, "en"), (5, "", "en"), (None, f'token = "{key}"', "en"), (6, "filler " * 20_000 + f'api_key: "{key}"', "en"), (7, f'token = "{key}"\ntoken = "{key}"', None)]
+    df = docs(spark, texts).withColumn("probability", F.lit("clash")).withColumn("path", F.lit(0))
+    found = secrets.scan(df, spark.createDataFrame(known, secrets.FINDINGS)).collect()
+    assert sorted(x["doc_id"] for x in found) == [1, 6, 7, 7] and {x["secret"] for x in found} == {key}
+    assert secrets.scan(df.limit(0), spark.createDataFrame(known, secrets.FINDINGS)).count() == 0
+    assert secrets.fit(spark.createDataFrame([], secrets.FINDINGS)) == []
+
+
+# -- language ------------------------------------------------------------------------
+
+
+def test_language(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    net = langid.fit(d, remainder("doc_id", 4) != 2)
+    told = langid.predict(d, net).where(remainder("doc_id", 4) == 2).select("lang", "lang_pred", "lang_score").collect()
+    assert np.mean([x["lang"] == x["lang_pred"] for x in told]) >= 0.97
+    assert all(0 <= x["lang_score"] <= 1 for x in told)
+    odd = docs(spark, [(1, None, "en"), (2, "", None), (3, "123 +-% 4", "fr"), (4, "Ça", None), (5, "the and of " * 30_000, "en"), (None, "the thing that was", "en")]).withColumn("lang_pred", F.lit(1))
+    got = {x["doc_id"]: (x["lang_pred"], x["lang_score"]) for x in langid.predict(odd, net).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[5][0] == got[None][0] == "en" and got[4][0] in net.languages
+    folded, plain = langid.Predictor(net), langid._responses
+    x = np.frombuffer(np.random.default_rng(0).bytes(256 * 5), np.uint8).reshape(5, 256)
+    raw, _ = plain(net, x)
+    np.testing.assert_allclose(folded.windows(x), langid._softmax(np.maximum(raw, 0) @ net.head + net.head_bias), atol=1e-4)
+    blank = langid.fit(d.limit(0), F.lit(True))
+    assert langid.predict(odd, blank).where("lang_pred <> 'und'").count() == 0
+
+
+# -- toxicity ------------------------------------------------------------------------
+
+
+def brute_segments(scores):
+    """Ruzzo and Tompa's maximal subsequences by their definition: recursively, the best one, then both sides."""
+    if not scores or max(scores) <= 0:
+        return []
+    best = (0.0, 0, 0)
+    for i in range(len(scores)):
+        total = 0.0
+        for j in range(i, len(scores)):
+            total += scores[j]
+            if total > best[0] + 1e-12:
+                best = (total, i, j + 1)
+    s, i, j = best
+    return brute_segments(scores[:i]) + [(i, j, s)] + [(a + j, b + j, x) for a, b, x in brute_segments(scores[j:])]
+
+
+def test_segments():
+    r = random.Random(1)
+    for _ in range(200):
+        n = r.randrange(0, 25)
+        hits = [(i, r.choice([1.0, 2.25, 3.5])) for i in range(n) if r.random() < 0.3]
+        penalty = r.choice([0.3, 0.55, 1.15])
+        scores = [-penalty] * n
+        for i, s in hits:
+            scores[i] = s
+        got = toxicity.maximal_segments(hits, penalty)
+        want = brute_segments(scores)
+        assert sum(x for _, _, x in got) == pytest.approx(sum(x for _, _, x in want))
+        assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+
+
+def test_toxicity(spark):
+    large = SF.replace("0.01", "0.1")
+    d, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
+    model = toxicity.fit(d, labels.unionByName(labels.limit(5)), remainder("doc_id", 5) != 0)
+    assert {"idiot", "stupid", "trash"} <= set(model.lexicon)
+    held = toxicity.segment_scores(d, model).join(labels, "doc_id").where(remainder("doc_id", 5) == 0).select("toxic", "toxicity").collect()
+    t, s = np.array([x["toxic"] for x in held]), np.array([x["toxicity"] for x in held])
+    assert np.mean((s >= 0.5) == t) >= 0.97 and s[t == 1].mean() > s[t == 0].mean() + 0.4
+    odd = docs(spark, [(1, None, "en"), (2, "", "en"), (3, "you idiot stupid moron trash", "en"), (4, "the thing " * 30_000, "en"), (None, "IDIOT! Stupid, moron", None)]).withColumn("toxicity", F.lit("x"))
+    got = {x["doc_id"]: x for x in toxicity.segment_scores(odd, model).collect()}
+    assert got[1]["toxicity"] == got[2]["toxicity"] < 0.5 < got[3]["toxicity"] and got[None]["toxicity"] > 0.5 and got[4]["segments"] == []
+    assert got[3]["segments"][0]["start"] == 1
+    none = toxicity.fit(d, labels.limit(0), F.lit(True))
+    assert {x["toxicity"] < 0.5 for x in toxicity.segment_scores(odd, none).collect()} == {True}
+
+
+# -- packing --------------------------------------------------------------------------
+
+
+def test_ids_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.Encoder(**tokenizer_args())
+    import pandas as pd
+
+    texts = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()[:200] + ["", " ", "a  b\n\n c\t\td", "x<|endoftext|>y", "don't you'll    ok", "日本語 текст 🙂🙂", "12345 6.7e8 ++--==", "\x00\x01"]
+    assert all(encode(t) == other.encode(t, add_special_tokens=False).ids for t in texts)
+
+
+def test_pack(spark):
+    rows = [(i, " ".join(some(n, i)), "en") for i, n in enumerate([1, 5, 40, 300, 900, 2500, 7, 8, 9, 600, 601, 602])] + [(50, None, "en"), (51, "", "en"), (51, "", "en"), (52, "word " * 40_000, "en")]
+    got = packing.pack(docs(spark, rows).withColumn("start", F.lit("clash")), **tokenizer_args(), with_ids=True).toPandas()
+    encode = packing.Encoder(**tokenizer_args())
+    for doc, text, _ in rows:
+        own = got[got.doc_id == doc].sort_values(["start", "sequence_id"])
+        want = [*encode(text or ""), 1]
+        if doc != 51:
+            assert [x for ids in own.ids for x in ids] == want and (own.doc_tokens == len(want)).all()
+        else:
+            assert len(own) == 2
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *np.cumsum(s.length)[:-1]] and s.length.sum() <= 2048
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got.itertuples())
+    assert packing.pack(docs(spark, rows).limit(0), **tokenizer_args()).count() == 0
+
+
+@pytest.mark.parametrize("cut", [True, False])
+def test_packer_limits(cut):
+    r = np.random.default_rng(2)
+    limits = packing.Limits(tokens=100, segments=4, loss_tokens=30)
+    packer = packing.Packer(limits, cut=cut, min_cut=5, pool=20)
+    pieces = [packing.Piece(i, 0, np.arange(n), (r.random(n) < 0.25) if i % 2 else np.zeros(n, bool)) for i, n in enumerate(r.integers(1, 99 if not cut else 300, 150))]
+    if not cut:
+        pieces = [p for p in pieces if p.demand()[2] <= 30]
+    bins = [b for p in pieces for b in packer.offer(p)] + list(packer.finish())
+    for b in bins:
+        t, s, n = np.sum([p.demand() for p in b], axis=0)
+        assert t <= 100 and s <= 4 and n <= 30 and all(len(p.ids) for p in b)
+    spans = sorted((p.example, p.start, len(p.ids)) for b in bins for p in b)
+    for p in pieces:
+        own = [(a, n) for e, a, n in spans if e == p.example]
+        assert own[0][0] == 0 and sum(n for _, n in own) == len(p.ids) and (cut or len(own) == 1)
+        assert all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+    if not cut:
+        with pytest.raises(ValueError):
+            list(packer.offer(packing.Piece(999, 0, np.arange(101), None)))
+
+
+# -- HTML ---------------------------------------------------------------------------
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
+<header class="top"><a href=/>Site</a></header><nav><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></nav>
+<div class="cookie-notice"><p>We use cookies, really, many of them, to do things you may not like at all.</p></div>
+<div id="content">{main}</div>
+<div class="sidebar"><h3>Related</h3><p>Some other story, with commas, that is not part of the text and should go away.</p></div>
+<form><p>Subscribe, please, now</p><input name=q></form>
+<section id="comments"><p>First comment, which is quite long, has commas, and says very little of any interest here.</p></section>
+<footer><p>&copy; 2020 Site, all rights reserved</p></footer></body></html>"""
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<article>{}</article>", "<div class=post><div>{}</div></div>", "<main><section>{}</section></main>"])
+def test_html(wrap):
+    main = "<h1>Title &amp; more</h1><p>First paragraph, with a <a href=x>link</a>, some commas,\n and   enough words to count for something.<p>Second <b>paragraph, also &lt;long&gt; enough,<br>to be kept in full</b>, I hope.</p><ul><li>item one, of a list<li>item two</ul><blockquote>Quoted, of course.</blockquote>"
+    text = html.extract_text(PAGE.format(main=wrap.format(main)))
+    assert text.split("\n\n") == ["Title & more", "First paragraph, with a link, some commas, and enough words to count for something.", "Second paragraph, also <long> enough, to be kept in full, I hope.", "item one, of a list", "item two", "Quoted, of course."]
+
+
+@pytest.mark.parametrize("bad", [None, "", "   ", "<", "<p", "<p>", "<!--", "</p></div>", "<script>x", "<html><body></body></html>", "&am", "<div " + "a" * 9, "<table><tr><td></table>", "<<>>", "<p><b><p><b>"])
+def test_html_odd_input(bad):
+    assert isinstance(html.extract_text(bad), str)
+    assert html.extract_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
+    assert html.extract_text("plain text &amp more") == "plain text & more"
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a, b</p>", "clash"), (1, "u", "<p>a, b</p>", "clash"), (2, None, None, None), (3, "v", "", "")], "page_id long, url string, html string, main_text string")
+    got = sorted((x["page_id"], x["main_text"]) for x in html.extract(pages).collect())
+    assert got == [(1, "a, b"), (1, "a, b"), (2, ""), (3, "")]
+    assert html.extract(pages.limit(0)).count() == 0
