@@ -120,10 +120,10 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int = 4, fan
     dropped = drops[0]
     for more in drops[1:]:
         dropped = dropped.unionByName(more)
-    gone = dropped.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("gone")).withColumnsRenamed({"doc_id": "__doc", "t": "__t"})
+    gone = dropped.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("__gone")).withColumnsRenamed({"doc_id": "__doc", "t": "__t"})
     joined = docs.join(gone, (docs["doc_id"] == gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__t"]), "left")
     split = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    lost = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
+    lost = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__lost")
     return (
         joined.withColumns({"__lines": split, "__lost": lost})
@@ -132,5 +132,5 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 10, n_batches: int = 4, fan
             "lines_dropped": F.size("__lost").cast("long"),
             "kept": F.when(F.size("__lost") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n")),
         })
-        .drop("__lines", "__lost", "__doc", "__t", "gone")
+        .drop("__lines", "__lost", "__doc", "__t", "__gone")
     )
