@@ -91,8 +91,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> D
     hint = F.broadcast if small else (lambda df: df)
     spaces = [(k, m) for k, m in [*enumerate(seeds.masks), *((1000 + n, "1" * n) for n in range(2, max(map(len, seeds.masks))))] if k in shapes]
     least = min((len(m) for _, m in spaces), default=2)
-    w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= least)
-    places = w.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("i"))
+    w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+    # no filter on the number of words: it would be pushed down and split each text again
+    places = w.select("doc_id", "w", F.explode(F.when(F.size("w") >= least, F.sequence(F.lit(0), F.size("w") - least))).alias("i"))
     pairs = keyed.select("pair").distinct()
     likely = places.withColumn("pair", F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + 1))).join(hint(pairs), "pair", "left_semi")
     tried = F.array(*(_seed(F.col("w"), F.col("i"), m, k) for k, m in spaces)) if spaces else F.array().cast("array<long>")
@@ -100,7 +101,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> D
     # the item laid over the document: its word k against word i - j + k
     start = F.col("i") - F.col("j")
     equal = F.transform(F.col("item_words"), lambda b, k: F.coalesce((start + k >= 0) & (F.get(F.col("w"), F.greatest(start + k, F.lit(0))) == b), F.lit(False)))
-    seen = hits.select("doc_id", "item_id", start.alias("start"), equal.alias("equal"))
+    # through a generator: else the verdict would become a condition of the join, for which each likely place has its whole text copied
+    seen = hits.select("doc_id", "item_id", start.alias("start"), F.explode(F.array(equal)).alias("equal"))
     judged = seen.select("doc_id", "item_id", "start", F.size("equal").alias("item_length"), F.size(F.filter("equal", lambda x: x)).alias("n_equal"), _stretch(F.col("equal"), seeds).alias("stretch"))
     good = judged.where((F.col("n_equal") >= F.ceil(F.col("item_length") * seeds.least_share)) | (F.col("stretch") >= seeds.least_stretch))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("start"), "item_length")).alias("best"))

@@ -1,26 +1,27 @@
 """MinHash near-dedup with odd sketches.
 
-1. Each text becomes its set of hashed word shingles, `bands * rows` MinHash
-   samples, one key per band, and an odd sketch: a bitmap in which sample
-   (number, value) flips one bit. Texts with equal sets form a class.
+1. Each text becomes its set of hashed word shingles, with two kinds of MinHash
+   samples: `bands * rows` independent ones make one key per band; the minima of
+   `bins` equal ranges of one permutation are folded into an odd sketch, a bitmap
+   in which every (range, minimum) flips one bit. Texts with equal sets form a
+   class.
 2. Classes meet in buckets of equal band keys. Each is paired with the smallest
    class of its bucket (a star, not all pairs).
-3. The XOR of two odd sketches has a population count that grows with the
-   number of differing samples, most steeply at high similarity: pairs whose
-   count is too high to have the wanted similarity go.
+3. The XOR of two odd sketches has a population count that gives the number of
+   differing samples, most precisely at high similarity: pairs whose count is
+   too high for the wanted similarity go.
 4. What is left is confirmed on full sets of word shingles, not hashes.
 5. Confirmed links give components. Where a bucket still has several, every
    class outside its largest component is compared with all others of the
    bucket, so that no link is lost to the choice of star centres.
 
 With 40 bands of 6 rows a pair at exactly 0.8 misses all buckets with
-probability (1 - 0.8 ** 6) ** 40 = 5e-6, and the sketch bound lies 5.5 standard
-deviations beyond the mean at 0.8.
+probability (1 - 0.8 ** 6) ** 40 = 5e-6. The bound on the population count lies
+`sigmas` standard deviations beyond its mean at the wanted similarity.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,19 +57,17 @@ class Scheme:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    sketch_bits: int = 512
-    sigmas: float = 5.5
+    bins: int = 2048
+    sketch_bits: int = 2048
+    sigmas: float = 3.5
 
     @property
     def samples(self) -> int:
         return self.bands * self.rows
 
-    def most_flips(self) -> int:
-        """The largest XOR population count that a pair with the wanted similarity plausibly has."""
-        p, k, n = 1 - self.percent / 100, self.samples, self.sketch_bits
-        differing = min(k, k * p + self.sigmas * math.sqrt(k * p * (1 - p)))
-        expected = n / 2 * (1 - math.exp(-4 * differing / n))
-        return math.ceil(expected + 2 * math.sqrt(n / 4))
+    @property
+    def sketch_words(self) -> int:
+        return self.sketch_bits // 64
 
 
 class Hasher:
@@ -111,8 +110,19 @@ def shingle_set(text: str | None, k: int) -> set[tuple[str, ...]]:
     return set(zip(*(words[j:] for j in range(k)), strict=False)) if len(words) >= k else {tuple(words)}
 
 
-def sign(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (documents x bands) and odd sketches (documents x words of 64 bits) of nonempty sets."""
+def odd_sketches(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketches (documents x words of 64 bits) of sorted nonempty sets, and how many samples each folds."""
+    flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = (flat >> U(32)) * U(scheme.bins) >> U(32)
+    least = np.ones(len(flat), bool)
+    least[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    doc, spot = doc[least], _mix(flat[least] + U(29)) % U(scheme.sketch_bits)
+    flips = np.bincount(doc * scheme.sketch_bits + spot.astype(np.int64), minlength=len(sets) * scheme.sketch_bits) & 1
+    return np.packbits(flips.astype(np.uint8).reshape(len(sets), -1), axis=1).view(np.int64), np.bincount(doc, minlength=len(sets))
+
+
+def sign(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
+    """Band keys (documents x bands) of nonempty sets."""
     sizes = np.array([len(s) for s in sets])
     flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
     mult, add = _odd(11, scheme.samples), _odd(13, scheme.samples)
@@ -123,15 +133,12 @@ def sign(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray
             np.bitwise_xor(flat, add[i], out=work)
             np.multiply(work, mult[i], out=work)
             low[:, i] = np.minimum.reduceat(work, starts)
-        spot = _mix(low + _odd(17, scheme.samples)) % U(scheme.sketch_bits)
         keys = (_mix(low).reshape(len(sets), scheme.bands, scheme.rows) * _odd(19, scheme.rows)).sum(axis=2, dtype=U)
         keys = _mix(keys + _odd(23, scheme.bands))
-    at = np.arange(len(sets))[:, None] * scheme.sketch_bits + spot.astype(np.int64)
-    parity = (np.bincount(at.ravel(), minlength=len(sets) * scheme.sketch_bits) & 1).astype(np.uint8)
-    return keys.view(np.int64), np.packbits(parity.reshape(len(sets), -1), axis=1).view(np.int64)
+    return keys.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sketch array<long>, keys array<long>"
+SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, n_samples long, sketch array<long>, keys array<long>"
 
 
 def _lists(values: np.ndarray, rows: list[int], n: int) -> pa.Array:
@@ -154,32 +161,49 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
         for batch in batches(reader, 512):
             sets = [hashes(t) for t in batch.column(1).to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
-            keys, sketches, group, size = [], [], [], 0
+            keys, sketches, samples, group, size = [], [], np.zeros(len(sets), np.int64), [], 0
             for j, i in enumerate(full):
                 group.append(sets[i])
                 size += len(sets[i])
                 if size >= 30_000 or j == len(full) - 1:
-                    k, s = sign(group, scheme)
-                    keys.append(k)
+                    keys.append(sign(group, scheme))
+                    s, n = odd_sketches(group, scheme)
                     sketches.append(s)
+                    samples[full[j + 1 - len(group) : j + 1]] = n
                     group, size = [], 0
             prints = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
             half = lambda shift: pa.array([None if p is None else ((p >> shift) & (2**64 - 1)) - 2**63 for p in prints], pa.int64())
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), half(0), half(64),
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), half(0), half(64), pa.array(samples),
                  _lists(np.concatenate(sketches) if full else np.empty((0, 0), np.int64), full, len(sets)), _lists(np.concatenate(keys) if full else np.empty((0, 0), np.int64), full, len(sets))],
-                names=["doc_id", "n_shingles", "f1", "f2", "sketch", "keys"],
+                names=["doc_id", "n_shingles", "f1", "f2", "n_samples", "sketch", "keys"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
 
 
-def flips(a: Column, b: Column, words: int) -> Column:
-    """Population count of the XOR of two sketches."""
-    total = F.lit(0)
-    for i in range(words):
-        total = total + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
-    return total
+def plausible(a: str, b: str, scheme: Scheme) -> Column:
+    """Whether the odd sketches in structs a and b (n_shingles, n_samples, sketch) leave the wanted similarity plausible.
+
+    At similarity j the sets' union has u = (|a| + |b|) / (1 + j) shingles, which
+    fill k (1 - exp(-u / k)) of k ranges, in a share j of which the minima agree.
+    Taken relative to the number of samples the two sets should have, as the
+    chance that lowers one lowers the other.
+    """
+    j, k, n = scheme.percent / 100, float(scheme.bins), float(scheme.sketch_bits)
+    x, y = F.col(a), F.col(b)
+    count = F.lit(0)
+    for i in range(scheme.sketch_words):
+        count = count + F.bit_count(F.get(x["sketch"], F.lit(i)).bitwiseXOR(F.get(y["sketch"], F.lit(i))))
+    u = (x["n_shingles"] + y["n_shingles"]) / (k * (1 + j))
+    filled = k * (1 - F.exp(-u))
+    shared = 1 - u * F.exp(-u) / (1 - F.exp(-u))  # of filled ranges, those in which several shingles compete
+    usual = k * (2 - F.exp(-x["n_shingles"] / k) - F.exp(-y["n_shingles"] / k))
+    differing = F.greatest((x["n_samples"] + y["n_samples"]) * (1 - 2 * j * filled / usual), F.lit(0.0))
+    chance = 4 * filled * j * (1 - j) * shared  # variance of the number of differing samples
+    folded = n / 4 * (1 - F.exp(-4 * differing / n)) - differing * F.exp(-4 * differing / n)  # and of the count for a given number
+    most = differing + scheme.sigmas * F.sqrt(chance + F.greatest(folded, F.lit(0.0)) * F.exp(4 * differing / n)) + 2
+    return (F.least(x["n_shingles"], y["n_shingles"]) * 100 >= F.greatest(x["n_shingles"], y["n_shingles"]) * scheme.percent) & (count <= F.ceil(n / 2 * (1 - F.exp(-2 * most / n))))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -220,7 +244,6 @@ def near_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     count as one document. A row whose doc_id is null is linked with nothing
     and has a null component_id. Columns other than doc_id and text are ignored.
     """
-    words = scheme.sketch_bits // 64
     docs = docs.select("doc_id", "text")
     signed = cut(signatures(docs, scheme), "signatures")
     full = signed.where("f1 IS NOT NULL AND doc_id IS NOT NULL")
@@ -229,11 +252,11 @@ def near_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     keyed = reps.select("doc_id", F.explode("keys").alias("key"))
     stars = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a")
     pairs = keyed.join(stars, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    sketches = reps.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    sketches = reps.select("doc_id", F.struct("n_shingles", "n_samples", "sketch").alias("s")).dropDuplicates(["doc_id"])
     near = (
-        pairs.join(sketches.withColumnsRenamed({"doc_id": "a", "sketch": "sa"}), "a")
-        .join(sketches.withColumnsRenamed({"doc_id": "b", "sketch": "sb"}), "b")
-        .where(flips(F.col("sa"), F.col("sb"), words) <= scheme.most_flips())
+        pairs.join(sketches.withColumnsRenamed({"doc_id": "a", "s": "sa"}), "a")
+        .join(sketches.withColumnsRenamed({"doc_id": "b", "s": "sb"}), "b")
+        .where(plausible("sa", "sb", scheme))
         .select("a", "b")
     )
     links = confirm(cut(near, "candidates"), docs, scheme)
@@ -244,10 +267,10 @@ def near_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     members = cut(member.join(mixed, "key", "left_semi").join(sketches, "doc_id"), "mixed")
     largest = members.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-    outside = members.join(largest, "key").where("label <> largest").select("key", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("sketch").alias("sx"))
+    outside = members.join(largest, "key").where("label <> largest").select("key", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("s").alias("sx"))
     rest = (
         outside.join(members, "key")
-        .where((F.col("lx") != F.col("label")) & (flips(F.col("sx"), F.col("sketch"), words) <= scheme.most_flips()))
+        .where((F.col("lx") != F.col("label")) & plausible("sx", "s", scheme))
         .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
         .distinct()
     )
@@ -261,7 +284,7 @@ def near_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     alone = second.select(F.col("component").alias("id"), "component").join(first.select("id"), "id", "left_anti")
     final = first.unionByName(alone).join(second, "component", "left").select(F.col("id").alias("rep"), F.coalesce("top", "component").alias("top"))
     named = classes.join(final, "rep", "left").select("f1", "f2", F.coalesce("top", "rep").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
