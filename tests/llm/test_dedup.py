@@ -190,6 +190,17 @@ def test_spans(spark):
     assert len(kept[9]) < len(rows[9][1]) - len(passage) * 0.9
 
 
+def test_long_sentence_between_other_neighbours(spark):
+    """A sentence of 16 words or more repeats alone; a shorter one does not."""
+    long_, short = " ".join(words(60, 1)) + ".", " ".join(words(15, 2)) + "."
+    rows = [(i, f"{' '.join(words(9, 10 + i))}. {long_} {' '.join(words(9, 20 + i))}. {short} {' '.join(words(9, 30 + i))}.") for i in range(3)]
+    rows.append((3, f"{' '.join(words(9, 40))}. {long_}"))
+    got = {tuple(x) for x in spans.repeated_spans(docs(spark, rows)).collect()}
+    assert got == {(i, 1, 2, 0, 1) for i in (1, 2, 3)} == brute_spans(rows, 2, 16)
+    kept = {x["doc_id"]: x["kept"] for x in spans.remove_repeats(docs(spark, rows)).collect()}
+    assert kept[0] == rows[0][1] and all(kept[i] == rows[i][1].replace(long_ + " ", "").replace(long_, "") for i in (1, 2, 3))
+
+
 def test_sentences_are_the_text():
     for t in ("a. b? c!\n\nd", "", "no end", "x...  y\n", "\n\na."):
         assert "".join(t[a:b] for a, b in spans.sentences(t)) == t
