@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Seeds:
-    #: 1: the word is hashed, 0: ignored. Both begin with two hashed words, which serve as a first filter.
-    masks: tuple[str, ...] = ("110110101", "1100101101")
+    #: 1: the word is hashed, 0: ignored. Each has two hashed words side by side, the first such pair serves as a first filter.
+    #: With these three no overlay that the verdict below accepts goes without a hit, whatever its length: agreeing pairs
+    #: with no other such word within two places of them make less than 70 %, and a stretch of 12 holds three in a row.
+    masks: tuple[str, ...] = ("111", "1101", "1011")
     #: An overlap is one where this share of the item's words agrees ...
     least_share: float = 0.7
     #: ... or where a stretch reaches this score: 1 for each equal word, and
     least_stretch: int = 12
     #: less this for each other.
     penalty: int = 2
-    #: Items with fewer words are left out.
+    #: Items with fewer words are left out; those shorter than every mask must lie in the document as they are.
     least_words: int = 4
     #: Seeds of test items are broadcast up to this many, and joined by shuffle beyond.
     broadcast_seeds: int = 1_000_000
@@ -45,21 +47,25 @@ def _seed(w: Column, i: Column, mask: str, number: int) -> Column:
     return F.xxhash64(F.lit(number), *(F.get(w, i + j) for j in _at(mask)))
 
 
+def _shapes(seeds: Seeds) -> list[tuple[int, str, int]]:
+    """(number, mask, words before its pair): the masks, and contiguous ones for items shorter than all of them."""
+    masks = list(enumerate(seeds.masks)) + [(1000 + n, "1" * n) for n in range(max(2, seeds.least_words), min(map(len, seeds.masks)))]
+    return [(k, m, m.index("11")) for k, m in masks]
+
+
 def item_seeds(benchmark: DataFrame, seeds: Seeds) -> DataFrame:
-    """(pair, seed, item_id, item_words, j) for every position j of every item at which a mask fits.
+    """(pair, seed, item_id, item_words, j) for every position at which a mask fits an item; j is the position of its pair.
 
-    Items shorter than the longest mask get, in its place, one contiguous mask of their own length.
+    Items shorter than every mask get, in their place, one contiguous mask of their own length.
     """
-    longest = max(map(len, seeds.masks))
     items = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("b")).withColumn("m", F.size("b")).where(F.col("m") >= seeds.least_words)
     parts = None
-    shapes = [(mask, k, F.col("m") >= longest) for k, mask in enumerate(seeds.masks)]
-    shapes += [("1" * n, 1000 + n, F.col("m") == n) for n in range(max(2, seeds.least_words), longest)]
-    for mask, number, fits in shapes:
-        rows = items.where(fits).select("item_id", F.col("b").alias("item_words"), F.explode(F.sequence(F.lit(0), F.col("m") - len(mask))).alias("j"))
+    for number, mask, lead in _shapes(seeds):
+        fits = F.col("m") >= len(mask) if number < 1000 else F.col("m") == len(mask)
+        rows = items.where(fits).select("item_id", F.col("b").alias("item_words"), F.explode(F.sequence(F.lit(lead), F.col("m") - len(mask) + lead)).alias("j"))
         part = rows.select(
             F.xxhash64(F.get("item_words", F.col("j")), F.get("item_words", F.col("j") + 1)).alias("pair"),
-            _seed(F.col("item_words"), F.col("j"), mask, number).alias("seed"), "item_id", "item_words", "j", F.lit(number).alias("shape"),
+            _seed(F.col("item_words"), F.col("j") - lead, mask, number).alias("seed"), "item_id", "item_words", "j", F.lit(number).alias("shape"),
         )
         parts = part if parts is None else parts.unionByName(part)
     return parts
@@ -83,20 +89,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> D
     may be negative), taken from the best overlay. Null and empty texts and null
     ids overlap nothing; rows that repeat a doc_id or item_id count as one.
     """
-    if any(not m.startswith("11") for m in seeds.masks):
-        raise ValueError("every mask begins with two hashed words")
+    if any("11" not in m for m in seeds.masks) or not seeds.masks or seeds.least_words < 2:
+        raise ValueError("every mask has two hashed words side by side, and every item two words")
     keyed = item_seeds(benchmark.select("item_id", "text"), seeds).cache()
     shapes = {r["shape"]: r["n"] for r in keyed.groupBy("shape").agg(F.count("*").alias("n")).collect()}
     small = sum(shapes.values()) <= seeds.broadcast_seeds
     hint = F.broadcast if small else (lambda df: df)
-    spaces = [(k, m) for k, m in [*enumerate(seeds.masks), *((1000 + n, "1" * n) for n in range(2, max(map(len, seeds.masks))))] if k in shapes]
-    least = min((len(m) for _, m in spaces), default=2)
+    spaces = [(k, m, lead) for k, m, lead in _shapes(seeds) if k in shapes]
     w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
     # no filter on the number of words: it would be pushed down and split each text again
-    places = w.select("doc_id", "w", F.explode(F.when(F.size("w") >= least, F.sequence(F.lit(0), F.size("w") - least))).alias("i"))
+    places = w.select("doc_id", "w", F.explode(F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.size("w") - 2))).alias("i"))
     pairs = keyed.select("pair").distinct()
     likely = places.withColumn("pair", F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + 1))).join(hint(pairs), "pair", "left_semi")
-    tried = F.array(*(_seed(F.col("w"), F.col("i"), m, k) for k, m in spaces)) if spaces else F.array().cast("array<long>")
+    tried = F.array(*(_seed(F.col("w"), F.col("i") - lead, m, k) for k, m, lead in spaces)) if spaces else F.array().cast("array<long>")
     hits = likely.select("doc_id", "w", "i", F.explode(tried).alias("seed")).join(hint(keyed.select("seed", "item_id", "item_words", "j")), "seed")
     # the item laid over the document: its word k against word i - j + k
     start = F.col("i") - F.col("j")

@@ -84,6 +84,58 @@ def test_overlaps(spark):
     assert decontaminate.overlaps(df.limit(0), bench).count() == 0 and decontaminate.overlaps(df, bench.limit(0)).count() == 0
 
 
+def accepted_without_hit(m, seeds):
+    """Whether an overlay of m words that the verdict accepts can go without a hit: by the last words, the stretch and the most that agree."""
+    masks, state = [x for x in seeds.masks if len(x) <= m], {("", 0, 0): 0}
+    for _ in range(m):
+        after = {}
+        for (tail, now, best), n in state.items():
+            for c in "01":
+                seen = tail + c
+                if any(len(seen) >= len(x) and all(a == "0" or b == "1" for a, b in zip(x, seen[-len(x) :], strict=True)) for x in masks):
+                    continue
+                score = min(max(0, now + (1 if c == "1" else -seeds.penalty)), seeds.least_stretch)
+                key = (seen[1 - max(map(len, masks)) :], score, max(best, score))
+                after[key] = max(after.get(key, 0), n + int(c))
+        state = after
+    return any(n >= np.ceil(m * seeds.least_share) or best >= seeds.least_stretch for (_, _, best), n in state.items())
+
+
+def test_seeds_hit_every_accepted_overlay():
+    assert not any(accepted_without_hit(m, decontaminate.Seeds()) for m in range(3, 121))
+    assert accepted_without_hit(40, decontaminate.Seeds(masks=("110110101", "1100101101")))
+
+
+def substituted(m, kept, seed):
+    """An item of m words, and a document that has it with only the kept places equal."""
+    b = some(m, seed)
+    return " ".join(b), " ".join([*some(30, seed + 1, 10**6), *(x if k in kept else "changed" for k, x in enumerate(b)), *some(30, seed + 2, 10**6)])
+
+
+def verdicts(rows, items, seeds):
+    """Every pair with an accepted overlay, by trying them all, seeds aside."""
+    return brute_overlaps(rows, items, decontaminate.Seeds(masks=("0",), least_share=seeds.least_share, least_stretch=seeds.least_stretch, penalty=seeds.penalty))
+
+
+def check_substituted(spark, cases):
+    made = [substituted(m, kept, 1000 * i) for i, (m, kept) in enumerate(cases)]
+    items, rows = [(i, a) for i, (a, _) in enumerate(made)], [(i, b) for i, (_, b) in enumerate(made)]
+    want = verdicts(rows, items, decontaminate.Seeds())
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(docs(spark, [(i, t, "en") for i, t in rows]), bench).collect()}
+    assert got == want
+    return want
+
+
+def test_overlaps_of_substituted_items(spark):
+    """Every 4th word changed, and chance changes of items of 10 to 20 words."""
+    r = random.Random(6)
+    cases = [(m, {k for k in range(m) if k % 4 != p}) for m in (16, 30, 50) for p in range(4)]
+    cases += [(m, set(r.sample(range(m), m - d))) for m in (10, 15, 18, 20) for d in (1, 3, 4, 5, 6) for _ in range(4)]
+    want = check_substituted(spark, cases)
+    assert {(i, i) for i in range(12)} <= want
+
+
 # -- secrets -----------------------------------------------------------------------
 
 
