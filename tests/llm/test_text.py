@@ -136,6 +136,12 @@ def test_overlaps_of_substituted_items(spark):
     assert {(i, i) for i in range(12)} <= want
 
 
+def test_overlaps_of_short_items(spark):
+    """One changed word, wherever it lies, in items of 4 to 9 words."""
+    want = check_substituted(spark, [(m, set(range(m)) - {k}) for m in range(4, 10) for k in range(m)])
+    assert want == {(i, i) for i in range(39)}
+
+
 # -- secrets -----------------------------------------------------------------------
 
 
