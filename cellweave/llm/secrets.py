@@ -26,6 +26,9 @@ DICTIONARY = (
     "east edit element email empty enable engine error event example extension factory fake field file filter flag folder font foo form format frame function github group handler header height hello here home host html http https icon image import index info input install instance integer interface internal item java key label language layer layout learn left level library light line link linux list load local login logo long main manager map master memory menu message method mobile mock model module monitor name native network node north number object option order page param parent parser password path pattern phone photo pixel placeholder platform player plugin point policy popup port post prefix private process product profile project property proxy public query random read record redacted release remote report request resource response result return root route sample schema score screen script search secret section select sequence server service session setting settings shape share simple site size socket source south space spring stack standard start state static status step storage stream string style submit support system table target task team template temp test testing text theme thread time title token tool tree trigger type update upload user util utils value vector version video view virtual visible web west widget width window word work world wrapper write your zone"
 ).split()
 KEYED = "token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|access[_-]?key|private[_-]?key|signature|sk_live|akia"
+PREFIX = "AKIA|ASIA|gh[pousr]_|github_pat_|sk_live|sk-|xox[bap]-|AIza|eyJ|glpat-|npm_"
+#: What is assigned to a telling name, at the end of the text: of any length, up to a space, quote or separator.
+ASSIGNED = rf"(?i)(?:{KEYED})[A-Za-z0-9_.\-]*[\"'`\])]*\s*[=:]+>?\s*[\"'`]?(?:(?:bearer|basic)\b[\"'`]?\s*[=:]*>?\s*[\"'`]?)?+([^\s\"'`,;<>=:][^\s\"'`,;<>]*)(?=\S*$)"
 HARMLESS = "commit|sha1|sha256|sha512|md5|checksum|digest|uuid|guid|etag|hash|revision|integrity|example|sample|dummy|fake|placeholder|redacted|build|blob|tree|merge|order|invoice|isbn|doi"
 TEST_PATH = "test|spec|fixture|mock|example|sample|doc|demo|lock|snap|vendor|node_modules|dist|min[.]"
 
@@ -46,14 +49,21 @@ class Config:
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, position (word), candidate, before (three words), after (two words), path."""
     w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col(path).cast("string").alias("path"), F.split("text", r"[ \t\n\x0B\f\r]+").alias("w"))
-    long_ = w.select("doc_id", "path", "w", F.posexplode("w").alias("position", "word")).where(F.length("word") >= 16)
-    # a digit beside letters, or both cases: running text and plain numbers go early
-    mixed = long_.where(F.col("word").rlike("[0-9]") & F.col("word").rlike("[A-Za-z]"))
     near = lambda *at: F.concat_ws(" ", *(F.get("w", F.col("position") + i) for i in at))
-    return (
-        mixed.select("doc_id", "path", F.col("position").cast("long").alias("position"), F.explode(F.regexp_extract_all("word", F.lit(f"({CORE})"), 1)).alias("candidate"), near(-3, -2, -1).alias("b"), near(1, 2).alias("after"), "word")
-        .select("doc_id", "path", "position", "candidate", F.concat_ws(" ", "b", F.expr("substring_index(word, candidate, 1)")).alias("before"), "after")
-        .where(F.col("candidate").rlike("[0-9]") & F.col("candidate").rlike("[A-Za-z]"))
+    each = w.select("doc_id", "path", "w", F.posexplode("w").alias("position", "word"))
+    # letters beside a digit, in both cases, or with a known prefix: running text and plain numbers go early
+    mixed = lambda c: c.rlike("[A-Za-z]") & (c.rlike("[0-9]") | (c.rlike("[a-z]") & c.rlike("[A-Z]")) | c.rlike(PREFIX))
+    last = F.coalesce(F.get("w", F.col("position") - 1), F.lit(""))
+    joined = reduce(lambda a, b: a | b, (F.col("word").contains(x) | last.contains(x) for x in "=:")) | F.lower(last).rlike("(bearer|basic)$")
+    assigned = joined & F.concat_ws(" ", near(-3, -2, -1), "word").rlike(ASSIGNED)
+    found = each.where(((F.length("word") >= 16) & mixed(F.col("word"))) | assigned).select(
+        "doc_id", "path", F.col("position").cast("long").alias("position"), near(-3, -2, -1).alias("b"), near(1, 2).alias("after"), "word",
+        F.filter(F.regexp_extract_all("word", F.lit(f"({CORE})"), 1), mixed).alias("core"),
+    ).withColumn("value", F.regexp_extract(F.concat_ws(" ", "b", "word"), ASSIGNED, 1))
+    # an assigned value is taken whole, in place of parts of it
+    whole = F.when(F.col("value") == "", F.col("core")).otherwise(F.array_append(F.filter("core", lambda c: ~F.col("value").contains(c)), F.col("value")))
+    return found.select("doc_id", "path", "position", F.explode(whole).alias("candidate"), "b", "after", "word").select(
+        "doc_id", "path", "position", "candidate", F.concat_ws(" ", "b", F.expr("substring_index(word, candidate, 1)")).alias("before"), "after"
     )
 
 
@@ -83,7 +93,7 @@ def features(found: DataFrame) -> DataFrame:
         "assigned": yes(F.col("before"), r"[=:]\s*[\"'`]?\s*$"),
         "harmless": yes(context, HARMLESS),
         "test_path": yes(path, TEST_PATH),
-        "prefix": yes(c, "^(AKIA|ASIA|gh[pousr]_|github_pat_|sk_live|sk-|xox[bap]-|AIza|eyJ|glpat-|npm_)"),
+        "prefix": yes(c, f"^({PREFIX})"),
         "separators": per(r"[-_./]"),
     }
     # through a generator: else the optimizer would repeat each feature wherever a tree asks for it
@@ -101,6 +111,8 @@ def labelled_findings(n: int = 3_000, seed: int = 2) -> list[tuple[str, str, str
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     filler = lambda k: " ".join(pick("aeiounrstlhd", r.randint(2, 9)) for _ in range(k))
+    password = lambda k: "".join(r.sample(r.choice(letters[:26]) + r.choice(letters[26:52]) + r.choice("0123456789") + pick(letters + "-_!@#$%^&*", k - 3), k))
+    word = lambda: r.choice(DICTIONARY)
     hexa = "0123456789abcdef"
     names = ["token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "private_key", "client_secret", "Authorization: Bearer", "credential"]
     paths = ["src/app.py", "config/prod.env", "deploy.yml", "src3", "web", "README.md", "main.go", "settings.json", "crawl/17"]
@@ -108,10 +120,11 @@ def labelled_findings(n: int = 3_000, seed: int = 2) -> list[tuple[str, str, str
     out = []
     for i in range(n):
         if i % 2 == 0:
-            kind = r.randrange(7)
+            kind = r.randrange(10)
             value = [lambda: pick(hexa, r.choice([32, 40, 48, 64])), lambda: pick(letters, r.randint(20, 64)), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + pick(letters, 36), lambda: "sk_live_" + pick(letters, 24),
-                     lambda: base64.b64encode(r.randbytes(r.randint(16, 40))).decode(), lambda: "eyJ" + pick(letters, 30) + "." + pick(letters, 40) + "." + pick(letters, 30)][kind]()
-            named = kind in (2, 3, 4, 6) and r.random() < 0.3
+                     lambda: base64.b64encode(r.randbytes(r.randint(16, 40))).decode(), lambda: "eyJ" + pick(letters, 30) + "." + pick(letters, 40) + "." + pick(letters, 30),
+                     lambda: password(r.randint(6, 15)), lambda: word() + pick("0123456789", r.randint(1, 3)) + r.choice("-_!@#$%") + pick(letters, r.randint(2, 6)), lambda: "eyJ" + pick(letters + "-_", r.randint(100, 500)) + "." + pick(letters + "-_", r.randint(100, 1000))][kind]()
+            named = kind in (2, 3, 4, 6, 9) and r.random() < 0.3
             before = filler(3) + " " if named else f"{filler(r.randint(0, 2))} {r.choice(names)}{r.choice([' = ', '=', ': ', ':'])}"
             before += r.choice(['"', "'", "", '"'])
             after, path = filler(r.randint(0, 2)), r.choice(paths if r.random() < 0.9 else test_paths)
@@ -119,12 +132,15 @@ def labelled_findings(n: int = 3_000, seed: int = 2) -> list[tuple[str, str, str
                 value, before = value.upper(), before.upper()
             out.append((value, before, after, path, 1))
         else:
-            kind = r.randrange(9)
-            word = lambda: r.choice(DICTIONARY)
+            kind = r.randrange(13)
             value = [lambda: pick(hexa, r.choice([32, 40, 64])), lambda: str(uuid.UUID(int=r.getrandbits(128))), lambda: "_".join(["your", word(), word(), "key", str(r.randint(1, 9))]), lambda: word() + "".join(w.title() for w in (word(), word(), word())) + str(r.randint(0, 99)),
                      lambda: "/".join([word(), word(), word() + str(r.randint(1, 9)) + ".html"]), lambda: "x" * r.randint(12, 30) + str(r.randint(0, 9)) * r.randint(3, 8), lambda: pick("aeiounrstlhd", r.randint(6, 12)) + "." + str(r.randint(1, 99)) + "-mail" + str(r.randint(1, 9)) + ".example.com",
-                     lambda: f"{r.randint(2000, 2026)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-00Z", lambda: pick("0123456789", r.randint(15, 18)) + r.choice(["px", "id", "ms"])][kind]()
+                     lambda: f"{r.randint(2000, 2026)}-{r.randint(10, 12)}-{r.randint(10, 28)}T{r.randint(10, 23)}-{r.randint(10, 59)}-00Z", lambda: pick("0123456789", r.randint(15, 18)) + r.choice(["px", "id", "ms"]),
+                     lambda: r.choice([word(), pick("aeiounrstlhd", r.randint(1, 12)), word().title(), pick("0123456789", r.randint(1, 6)), r.choice("${%") + word() + "}", "".join(w.title() for w in (word(), word())), "None", "null", "true"]), lambda: word() + "".join(w.title() for w in (word(), word(), word())),
+                     lambda: "/".join(r.choice([word(), word().title()]) for _ in range(r.randint(3, 8))), lambda: "/".join(pick("aeiounrstlhd", r.randint(3, 9)) for _ in range(r.randint(20, 90))) + str(r.randint(0, 9))][kind]()
             mark = r.choice(["commit ", "sha256: ", "md5 checksum ", "uuid=", "etag: ", "revision ", "digest ", "blob "]) if kind < 2 else r.choice([filler(1) + " ", "href=", "id: ", "token = ", "key: ", "see "]) if kind in (2, 3, 5) else filler(1) + " "
+            if kind == 9:
+                mark = r.choice(names + ["author", "signature", "secretary"]) + r.choice([" = ", "=", ": ", ":"])
             before, after = f"{filler(r.randint(0, 2))} {mark}" + r.choice(["", '"']), filler(r.randint(0, 2))
             out.append((value, before, after, r.choice(paths if r.random() < 0.6 else test_paths), 0))
     return out
