@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What a candidate looks like inside a word.
-CORE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,254}[A-Za-z0-9=]={0,2}"
+CORE = r"[A-Za-z0-9][A-Za-z0-9+/_.\-]{14,}[A-Za-z0-9=]={0,2}"
 DICTIONARY = (
     "access account admin alpha android api apple application array article asset assets author backup bar base basic beta block body branch browser bucket build button cache callback center change chart class client cloud color "
     "column commit common component config connect container content context control copy core count create custom data database date debug default delete demo demos detail device dialog digest display doc docs domain download driver dummy "
