@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import Scratch, cut, remove, shared_path, shared_root
+
+__all__ = ["Scratch", "ascii_lower", "batches", "cut", "few", "one_thread", "only", "remove", "shared_path", "shared_root", "table", "words_of"]
+
 #: The bytes that separate words, and that are stripped around lines.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,34 +48,18 @@ _RARE = "\x1c\x1d\x1e\x1f\x85\xa0               
 _TO_SPACE = {ord(c): " " for c in SPACE}
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all machines share (spark.checkpoint.dir); a local one is made only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cellweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/cellweave-{uuid.uuid4().hex}/{name}"
-
+def few(df: DataFrame, most: int) -> bool:
+    """Whether df has at most `most` rows; reads no further than that."""
+    return df.limit(most + 1).count() <= most
 
-def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    writer = df.write
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def only(df: DataFrame, key: str, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Rows of df whose key is among ids (one column of that name, distinct longs).
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a file or folder on whatever file system the path names."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
+    Up to `most` ids (8 MB) they are broadcast, so that the other rows of df move
+    nowhere; beyond, both sides are shuffled.
+    """
+    return df.join(F.broadcast(ids) if few(ids, most) else ids, key, "left_semi")
 
 
 def batches(reader, rows: int = 2048):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,26 +24,25 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) for every end of an edge (src, dst): the smallest id reachable.
 
-    Null ends and loops are ignored; an empty input gives an empty result.
+    Null ends and loops are ignored; an empty input gives an empty result. Each
+    round's edges replace those of the round before; rounds go on until the edges
+    are stars, after a number of rounds that grows with the logarithm of theirs.
     """
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-    e = cut(e, "edges")
+    keep = scratch or Scratch(edges.sparkSession)
+    e = keep.cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     before = _state(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
         down = _star(large.where("src <> dst").distinct().select(F.col("src").alias("u"), F.col("dst").alias("v")))
         small = down.where("v <> m").select(F.col("v").alias("src"), F.col("m").alias("dst")).unionByName(down.select(F.col("u").alias("src"), F.col("m").alias("dst")))
-        e = cut(small.where("src <> dst").distinct(), "edges")
+        old, e = e, keep.cut(small.where("src <> dst").distinct(), "edges")
+        keep.free(old)
         now = _state(e)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle within {rounds} rounds")
     return e.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(e.select(F.col("dst").alias("id"), F.col("dst").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))

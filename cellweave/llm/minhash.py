@@ -3,17 +3,19 @@
 1. Each text becomes its set of hashed word shingles, with two kinds of MinHash
    samples: `bands * rows` independent ones make one key per band; the minima of
    `bins` equal ranges of one permutation are folded into an odd sketch, a bitmap
-   in which every (range, minimum) flips one bit. Texts with equal sets form a
-   class.
+   in which every (range, minimum) flips one bit. Texts with equal sequences of
+   words, told by a 128-bit BLAKE2 digest, form a class.
 2. Classes meet in buckets of equal band keys. Each is paired with the smallest
    class of its bucket (a star, not all pairs).
 3. The XOR of two odd sketches has a population count that gives the number of
    differing samples, most precisely at high similarity: pairs whose count is
    too high for the wanted similarity go.
 4. What is left is confirmed on full sets of word shingles, not hashes.
-5. Confirmed links give components. Where a bucket still has several, every
-   class outside its largest component is compared with all others of the
-   bucket, so that no link is lost to the choice of star centres.
+5. Confirmed links give components. Where the other members of a bucket still
+   belong to several, each outside the largest of these is compared by sketch with
+   those of other components, in the first bucket that the two share, so that no
+   link is lost to the choice of star centres. Pairs whose sketches agree well
+   enough are confirmed as before.
 
 With 40 bands of 6 rows a pair at exactly 0.8 misses all buckets with
 probability (1 - 0.8 ** 6) ** 40 = 5e-6. The bound on the population count lies
@@ -24,13 +26,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, one_thread, words_of
+from .common import Scratch, batches, one_thread, only, words_of
 from .graph import connected_components
 
 U = np.uint64
@@ -57,7 +60,7 @@ class Scheme:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    bins: int = 2048
+    bins: int = 4096
     sketch_bits: int = 2048
     sigmas: float = 3.5
 
@@ -89,7 +92,9 @@ class Hasher:
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
+        return self.of(words_of(text))
+
+    def of(self, words: list[str]) -> np.ndarray:
         n = len(words)
         if not n:
             return np.empty(0, U)
@@ -138,7 +143,7 @@ def sign(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, n_samples long, sketch array<long>, keys array<long>"
+SIGNED = "doc_id long, t long, n_shingles long, f1 long, f2 long, n_samples long, sketch array<long>, keys array<long>"
 
 
 def _lists(values: np.ndarray, rows: list[int], n: int) -> pa.Array:
@@ -151,15 +156,16 @@ def _lists(values: np.ndarray, rows: list[int], n: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Set size, 128-bit set fingerprint, odd sketch and band keys per document; all but the size null for an empty set."""
+    """Hash of the text, set size, digest of the words, odd sketch and band keys per document; all but the first two null for an empty set."""
 
     def run(reader) -> Iterator[pa.RecordBatch]:
         one_thread()
-        import xxhash
-
         hashes = Hasher(scheme.shingle_words)
         for batch in batches(reader, 512):
-            sets = [hashes(t) for t in batch.column(1).to_pylist()]
+            sets, prints = [], []
+            for words in map(words_of, batch.column(1).to_pylist()):
+                sets.append(hashes.of(words))
+                prints.append(int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), "big") if words else None)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys, sketches, samples, group, size = [], [], np.zeros(len(sets), np.int64), [], 0
             for j, i in enumerate(full):
@@ -171,15 +177,14 @@ def signatures(docs: DataFrame, scheme: Scheme) -> DataFrame:
                     sketches.append(s)
                     samples[full[j + 1 - len(group) : j + 1]] = n
                     group, size = [], 0
-            prints = [xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None for s in sets]
             half = lambda shift: pa.array([None if p is None else ((p >> shift) & (2**64 - 1)) - 2**63 for p in prints], pa.int64())
             yield pa.record_batch(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), half(0), half(64), pa.array(samples),
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), half(64), half(0), pa.array(samples),
                  _lists(np.concatenate(sketches) if full else np.empty((0, 0), np.int64), full, len(sets)), _lists(np.concatenate(keys) if full else np.empty((0, 0), np.int64), full, len(sets))],
-                names=["doc_id", "n_shingles", "f1", "f2", "n_samples", "sketch", "keys"],
+                names=["doc_id", "t", "n_shingles", "f1", "f2", "n_samples", "sketch", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("t")).mapInArrow(run, SIGNED)
 
 
 def plausible(a: str, b: str, scheme: Scheme) -> Column:
@@ -206,85 +211,127 @@ def plausible(a: str, b: str, scheme: Scheme) -> Column:
     return (F.least(x["n_shingles"], y["n_shingles"]) * 100 >= F.greatest(x["n_shingles"], y["n_shingles"]) * scheme.percent) & (count <= F.ceil(n / 2 * (1 - F.exp(-2 * most / n))))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+#: Members of one star whose texts one copy of the centre's text serves.
+PER_COPY = 256
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the similarity.
+
+    The text of a travels once for up to PER_COPY of its pairs, ahead of the
+    texts that it is compared with; a task holds two texts at a time. docs has
+    one text, or equal ones, per doc_id.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id"]), "texts")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
+    texts = keep.cut(only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).dropDuplicates(["id"]), "texts")
+    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
+    dealt = pairs.join(copies, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), "b")
+    others = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "copy", "b", "text")
+    centres = copies.join(texts.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"), "text")
+    both = centres.unionByName(others).repartition("a", "copy").sortWithinPartitions("a", "copy", F.asc_nulls_first("b"))
     k, percent = scheme.shingle_words, scheme.percent
 
     def run(reader) -> Iterator[pa.RecordBatch]:
-        last: dict = {}
-
-        def known(i: int, text: str | None) -> set:
-            if i not in last:
-                if len(last) > 4:
-                    last.pop(next(iter(last)))
-                last[i] = shingle_set(text, k)
-            return last[i]
-
+        own: set = set()
         for batch in batches(reader, 256):
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            a, b, texts = (batch.column(c).to_pylist() for c in ("a", "b", "text"))
             good = []
             for i in range(len(a)):
-                x, y = known(a[i], ta[i]), known(b[i], tb[i])
-                common = len(x & y)
-                if common and 100 * common >= percent * (len(x) + len(y) - common):
+                if b[i] is None:
+                    own = shingle_set(texts[i], k)
+                    continue
+                other = shingle_set(texts[i], k)
+                common = len(own & other)
+                if common and 100 * common >= percent * (len(own) + len(other) - common):
                     good.append(i)
             yield pa.record_batch([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["src", "dst"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "src long, dst long")
+    done = keep.cut(both.mapInArrow(run, "src long, dst long"), "links")
+    keep.free(texts)
+    return done
+
+
+def first_shared(x: str, y: str, bands: int) -> Column:
+    """The first band in which two lists of 31-bit keys agree."""
+    return F.coalesce(*(F.when(F.get(x, F.lit(i)) == F.get(y, F.lit(i)), F.lit(i)) for i in range(bands)))
+
+
+def strays(shared: DataFrame, first: DataFrame, reps: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that met in a bucket without one being its star's centre, if their sketches agree.
+
+    shared: (key, band, doc_id, a) with a the centre; first: (id, component).
+    """
+    others = shared.where("doc_id <> a").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    labelled = keep.cut(others.select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("label")), "labelled")
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").select("key", "largest")
+    # written, so that the joins below have plain shuffles on both sides: Spark splits a hot key only between these
+    mixed = keep.cut(mixed, "mixed")
+    rows = keep.cut(labelled.join(mixed, "key"), "rows")
+    short = F.transform("keys", lambda k: k.bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    about = only(reps, "doc_id", rows.select("doc_id").distinct()).select("doc_id", F.struct("n_shingles", "n_samples", "sketch", short.alias("keys")).alias("s"))
+    members = keep.cut(rows.join(about, "doc_id"), "members")
+    outside = keep.cut(members.where("label <> largest").select("key", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("s").alias("sx")), "outside")
+    differ = (F.col("lx") != F.col("label")) & ((F.col("label") == F.col("largest")) | (F.col("x") < F.col("doc_id")))
+    near = outside.join(members, "key").where(differ & plausible("sx", "s", scheme) & (first_shared("sx.keys", "s.keys", scheme.bands) == F.col("band")))
+    found = keep.cut(near.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct(), "candidates")
+    keep.free(labelled, mixed, rows, members, outside)
+    return found
 
 
 def near_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     """One row (doc_id, n_shingles, component_id) per row of docs.
 
     component_id is the smallest doc_id reachable over links. Null, empty and
-    word-free texts have no shingles and are linked with nothing. Equal doc_ids
-    count as one document. A row whose doc_id is null is linked with nothing
-    and has a null component_id. Columns other than doc_id and text are ignored.
+    word-free texts have no shingles and are linked with nothing. Rows that repeat
+    a doc_id are one document, whose text is the one with the smallest digest of
+    its words; n_shingles is each row's own. A row whose doc_id is null is linked
+    with nothing and has a null component_id. Columns other than doc_id and text
+    are ignored.
     """
     docs = docs.select("doc_id", "text")
-    signed = cut(signatures(docs, scheme), "signatures")
+    keep = Scratch(docs.sparkSession)
+    signed = keep.cut(signatures(docs, scheme), "signatures")
     full = signed.where("f1 IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a")
-    pairs = keyed.join(stars, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    sketches = reps.select("doc_id", F.struct("n_shingles", "n_samples", "sketch").alias("s")).dropDuplicates(["doc_id"])
+    own = full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2", "t")).alias("f"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    own = keep.cut(own.select("doc_id", "f.f1", "f.f2", "f.t", "lo", "hi"), "own")
+    classes = keep.cut(own.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
+    to_rep = classes.select(F.col("rep").alias("doc_id"), "f1", "f2")
+    reps = keep.cut(full.join(to_rep, ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "n_samples", "sketch", "keys"), "reps")
+    keyed = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
+    stars = keep.cut(keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a"), "stars")
+    shared = keep.cut(keyed.join(stars, "key"), "shared")
+    pairs = keep.cut(shared.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sketches = only(reps, "doc_id", ids).select("doc_id", F.struct("n_shingles", "n_samples", "sketch").alias("s"))
     near = (
         pairs.join(sketches.withColumnsRenamed({"doc_id": "a", "s": "sa"}), "a")
         .join(sketches.withColumnsRenamed({"doc_id": "b", "s": "sb"}), "b")
         .where(plausible("sa", "sb", scheme))
         .select("a", "b")
     )
-    links = confirm(cut(near, "candidates"), docs, scheme)
-    first = cut(connected_components(links), "components")
-    # buckets in which several components meet
-    label = F.coalesce("component", "doc_id")
-    member = keyed.join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", label.alias("label"))
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    members = cut(member.join(mixed, "key", "left_semi").join(sketches, "doc_id"), "mixed")
-    largest = members.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-    outside = members.join(largest, "key").where("label <> largest").select("key", F.col("doc_id").alias("x"), F.col("label").alias("lx"), F.col("s").alias("sx"))
-    rest = (
-        outside.join(members, "key")
-        .where((F.col("lx") != F.col("label")) & plausible("sx", "s", scheme))
-        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
-        .distinct()
-    )
-    found = cut(confirm(cut(rest, "candidates"), docs, scheme), "links")
-    to = first.select(F.col("id"), "component")
+    near = keep.cut(near, "candidates")
+    # the one text of each document
+    several = own.where("lo <> hi").select("doc_id", "t")
+    texts = docs.join(several, "doc_id", "left").where("t IS NULL OR t = xxhash64(text)").select("doc_id", "text")
+    links = confirm(near, texts, scheme, keep)
+    first = keep.cut(connected_components(links, keep), "components")
+    rest = strays(shared, first, reps, scheme, keep)
+    found = confirm(rest, texts, scheme, keep)
     merged = (
-        found.join(to.withColumnsRenamed({"id": "src", "component": "cs"}), "src", "left").join(to.withColumnsRenamed({"id": "dst", "component": "cd"}), "dst", "left")
+        found.join(first.withColumnsRenamed({"id": "src", "component": "cs"}), "src", "left").join(first.withColumnsRenamed({"id": "dst", "component": "cd"}), "dst", "left")
         .select(F.coalesce("cs", "src").alias("src"), F.coalesce("cd", "dst").alias("dst"))
     )
-    second = connected_components(merged).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    second = keep.cut(connected_components(merged, keep).select(F.col("id").alias("component"), F.col("component").alias("top")), "merged")
     alone = second.select(F.col("component").alias("id"), "component").join(first.select("id"), "id", "left_anti")
     final = first.unionByName(alone).join(second, "component", "left").select(F.col("id").alias("rep"), F.coalesce("top", "component").alias("top"))
-    named = classes.join(final, "rep", "left").select("f1", "f2", F.coalesce("top", "rep").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = classes.join(final, "rep", "left").where("n > 1 OR top IS NOT NULL").select("f1", "f2", F.coalesce("top", "rep").alias("component"))
+    # written on both sides, as before a join with a hot key
+    component = own.join(keep.cut(named, "named"), ["f1", "f2"]).where("component <> doc_id").select("doc_id", "component")
+    component = keep.cut(component, "linked")
+    keep.free(stars, shared, pairs, near, links, found, rest, first, second, reps, classes, own)
+    done = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left")
+    return done.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:

@@ -93,6 +93,36 @@ def test_stragglers_and_keep_one(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, c in want.items() if i == c)
 
 
+def test_rows_that_repeat_an_id(spark):
+    """The text with the smallest digest of its words counts for all rows of an id; equal sets in another order are linked, too."""
+    import hashlib
+
+    a, b = " ".join(words(80, 1)), " ".join(words(80, 2))
+    first = min(a, b, key=lambda t: hashlib.blake2b(t.encode(), digest_size=16).digest())
+    other = b if first == a else a
+    loop = [f"v{i}" for i in range(20)]
+    rows = [(5, a), (5, b), (5, None), (7, first.upper()), (8, other), (9, " ".join([*loop, *loop[:2]])), (10, " ".join([*loop[1:], *loop[:3]])), (11, None), (11, first)]
+    got = sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in minhash.near_components(docs(spark, rows), minhash.Scheme(shingle_words=2)).collect())
+    assert got == sorted([(5, 5, 79), (5, 5, 79), (5, 5, 0), (7, 5, 79), (8, 8, 79), (9, 9, 20), (10, 9, 20), (11, 5, 0), (11, 5, 79)])
+
+
+def test_large_cloud_of_near_copies(spark):
+    """Pairs on both sides of the threshold, in components that no star of a bucket joins, and one very long centre."""
+    r = random.Random(7)
+    base = words(150, 11)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 260):
+        w = list(base)
+        for _ in range(r.randrange(1, 24)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    long = words(30_000, 3)
+    rows += [(1000 + i, " ".join(long[: 30_000 - 50 * i])) for i in range(4)]
+    want, _ = brute(rows, 2)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_components(docs(spark, rows), minhash.Scheme(shingle_words=2)).collect()}
+    assert got == want
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert minhash.near_components(none).count() == 0
