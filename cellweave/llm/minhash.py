@@ -215,15 +215,18 @@ def plausible(a: str, b: str, scheme: Scheme) -> Column:
 PER_COPY = 256
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, several: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the similarity.
 
+    several: (id, t) for ids that have several texts, with the hash of the one that counts.
+
     The text of a travels once for up to PER_COPY of its pairs, ahead of the
-    texts that it is compared with; a task holds two texts at a time. docs has
-    one text, or equal ones, per doc_id.
+    texts that it is compared with; a task holds two texts at a time.
     """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = keep.cut(only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).dropDuplicates(["id"]), "texts")
+    wanted = only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids)
+    counts = wanted.join(several, "id", "left").where("t IS NULL OR t = xxhash64(text)")
+    texts = keep.cut(counts.select("id", "text").dropDuplicates(["id"]), "texts")
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_COPY).alias("copies"))
     dealt = pairs.join(copies, "a").select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), "b")
     others = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "copy", "b", "text")
@@ -311,13 +314,11 @@ def near_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
         .select("a", "b")
     )
     near = keep.cut(near, "candidates")
-    # the one text of each document
-    several = own.where("lo <> hi").select("doc_id", "t")
-    texts = docs.join(several, "doc_id", "left").where("t IS NULL OR t = xxhash64(text)").select("doc_id", "text")
-    links = confirm(near, texts, scheme, keep)
+    several = keep.cut(own.where("lo <> hi").select(F.col("doc_id").alias("id"), "t"), "several")
+    links = confirm(near, docs, several, scheme, keep)
     first = keep.cut(connected_components(links, keep), "components")
     rest = strays(shared, first, reps, scheme, keep)
-    found = confirm(rest, texts, scheme, keep)
+    found = confirm(rest, docs, several, scheme, keep)
     merged = (
         found.join(first.withColumnsRenamed({"id": "src", "component": "cs"}), "src", "left").join(first.withColumnsRenamed({"id": "dst", "component": "cd"}), "dst", "left")
         .select(F.coalesce("cs", "src").alias("src"), F.coalesce("cd", "dst").alias("dst"))
@@ -329,7 +330,7 @@ def near_components(docs: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     # written on both sides, as before a join with a hot key
     component = own.join(keep.cut(named, "named"), ["f1", "f2"]).where("component <> doc_id").select("doc_id", "component")
     component = keep.cut(component, "linked")
-    keep.free(stars, shared, pairs, near, links, found, rest, first, second, reps, classes, own)
+    keep.free(stars, shared, pairs, several, near, links, found, rest, first, second, reps, classes, own)
     done = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left")
     return done.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
