@@ -627,7 +627,7 @@ class Lattice:
         self._need(dim)
         table, n = self._labels_table(dim, new_coord)
         targets = table.select(F.col("new").alias(pos(dim)), F.col("label").alias(dim))
-        return self._per_group(dim, lambda g: scans.interp(g, dim, targets, method), n)
+        return self._per_group(dim, lambda g: scans.interp(g, dim, targets, n, method, self.sizes, self._layout), n)
 
     def differentiate(self, coord: str, edge_order: int = 1, datetime_unit: str | None = None) -> Lattice:
         return self._per_group(coord, lambda g: scans.differentiate(g, coord, edge_order, datetime_unit, self.sizes, self._layout))
@@ -681,6 +681,7 @@ class Lattice:
         out = self
         for dim, index in ((indexers or {}) | more).items():
             out = out._sel(dim, _value(index), method, tolerance)
+        # a label that a scalar selects isn't kept, so there is none to drop
         return out
 
     def _sel(self, dim: str, index: object, method: str | None, tolerance: object) -> Lattice:
@@ -697,10 +698,12 @@ class Lattice:
             ends = coord.where(inside).agg(F.min(pos(dim)).alias("a"), F.max(pos(dim)).alias("b")).first()
             if ends["a"] is None:
                 return self._isel(dim, slice(0, 0))
-            return self._isel(dim, slice(ends["a"], ends["b"] + 1, index.step))
+            # the labels' own filter reaches the scan; positions only renumber what is left
+            near = self._per_group(dim, lambda g: Group(g.dims, g.frame().where(inside), {n: F.col(n) for n in g.exprs}, g.kinds))
+            return near._isel(dim, slice(ends["a"], ends["b"] + 1, index.step))
         scalar = isinstance(index, str) or not hasattr(index, "__iter__")
         wanted, n = self._labels_table(dim, [index] if scalar else index)
-        told = indexing.match_labels(coord.select(F.col(dim).alias("label"), F.col(pos(dim)).alias("old")), wanted, method, tolerance).orderBy("new", "old").collect()
+        told = indexing.match_labels(coord.select(F.col(dim).alias("label"), F.col(pos(dim)).alias("old")), wanted, method, tolerance, self.sizes[dim] + n, self._layout.block).orderBy("new", "old").collect()
         if any(r["old"] is None for r in told):
             raise KeyError(f"no label for {[r['label'] for r in told if r['old'] is None]} along {dim!r}")
         if len(told) > n:
@@ -716,7 +719,7 @@ class Lattice:
             out._need(dim)
             table, n = out._labels_table(dim, labels)
             coord = out.coordinate(dim).select(F.col(dim).alias("label"), F.col(pos(dim)).alias("old"))
-            mapping = indexing.match_labels(coord, table, method, tolerance)
+            mapping = indexing.match_labels(coord, table, method, tolerance, out.sizes[dim] + n, out._layout.block)
             out = out._per_group(dim, lambda g, dim=dim, mapping=mapping: indexing.take_map(g, dim, mapping, fill, True), n)
         return out
 
@@ -735,7 +738,7 @@ class Lattice:
                 keyed = keyed.withColumn(name, F.col("label"))
             else:
                 keyed = keyed.join(k.frame().select(F.col(pos(dim)).alias("old"), F.col(k._one()).alias(name)), "old")
-        mapping = indexing.sort_mapping(keyed, list(arrays), ascending, self.sizes[dim])
+        mapping = indexing.sort_mapping(keyed, list(arrays), ascending, self.sizes[dim], self._layout.block)
         return self._per_group(dim, lambda g: indexing.take_map(g, dim, mapping, None, False))
 
     def align(self, other: Lattice, dim: str | None = None) -> tuple[Lattice, Lattice]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import as_column
+from ..plans.positions import neighbours, number_sorted
 from ..plans.windows import pos
 from ..schema import Group
 
@@ -53,23 +54,18 @@ def take_map(group: Group, dim: str, mapping: DataFrame, fill: object, n_missing
     return Group(group.dims, joined.select(*group.keys(), *names), {n: F.col(n) for n in names}, kinds)
 
 
-def match_labels(coord: DataFrame, wanted: DataFrame, method: str | None, tolerance: object | None) -> DataFrame:
+def match_labels(coord: DataFrame, wanted: DataFrame, method: str | None, tolerance: object | None, n: int, block: int) -> DataFrame:
     """wanted (new, label) with `old`: the position in coord (label, old) that each label means, or missing.
 
     Exact matches join; the others look up the nearest label at or before (pad,
     ffill), at or after (backfill, bfill) or on either side (nearest: the larger
-    label on a tie) in one window over both coordinates.
+    label on a tie). n: labels in both tables; beyond `block` these are looked up in ranges.
     """
     if method is None:
         return wanted.join(coord, "label", "left").select("new", "label", "old")
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    both = coord.select("label", "old", F.lit(None).cast("long").alias("new")).unionByName(wanted.select("label", F.lit(None).cast("long").alias("old"), "new"))
-    known = F.when(F.col("old").isNotNull(), F.struct("label", "old"))
-    told = both.withColumns({
-        "lo": F.last(known, True).over(Window.orderBy("label", F.col("new").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)),
-        "hi": F.first(known, True).over(Window.orderBy("label", F.col("new").isNull()).rowsBetween(0, Window.unboundedFollowing)),
-    }).where(F.col("new").isNotNull())
+    told = neighbours(coord, wanted, n, block)
     far = lambda a, b: _distance(a, b, dict(coord.dtypes)["label"])
     below, above = far("label", "lo.label"), far("hi.label", "label")
     if method in ("pad", "ffill"):
@@ -81,8 +77,7 @@ def match_labels(coord: DataFrame, wanted: DataFrame, method: str | None, tolera
         pick = F.coalesce(pick, F.col("lo"))
     told = told.withColumn("__pick", pick)
     if tolerance is not None:
-        gap = F.least(F.abs(far("label", "__pick.label")), F.abs(far("label", "__pick.label")))
-        told = told.withColumn("__pick", F.when(gap <= as_column(tolerance), F.col("__pick")))
+        told = told.withColumn("__pick", F.when(F.abs(far("label", "__pick.label")) <= as_column(tolerance), F.col("__pick")))
     return told.select("new", "label", F.col("__pick.old").alias("old"))
 
 
@@ -92,8 +87,7 @@ def _distance(a: str, b: str, kind: str) -> Column:
     return F.col(a).cast("double") - F.col(b).cast("double")
 
 
-def sort_mapping(keyed: DataFrame, keys: list[str], ascending: bool, n: int) -> DataFrame:
+def sort_mapping(keyed: DataFrame, keys: list[str], ascending: bool, n: int, block: int) -> DataFrame:
     """keyed (old, label, keys...) numbered in stable ascending order, missing keys last; descending is that order reversed."""
-    order = Window.orderBy(*(F.asc_nulls_last(k) for k in keys), "old")
-    at = F.row_number().over(order).cast("long") - 1
-    return keyed.withColumn("new", at if ascending else F.lit(n - 1) - at).select("new", "label", "old")
+    order = [*(F.asc_nulls_last(k) if ascending else F.desc_nulls_first(k) for k in keys), F.asc("old") if ascending else F.desc("old")]
+    return number_sorted(keyed, order, "new", n, block).select("new", "label", "old")

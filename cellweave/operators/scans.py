@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import as_column, divide, no_nan
+from ..plans.positions import neighbours
 from ..plans.windows import Layout, along, pos, scan, stencil
 from ..schema import Group
 from .reductions import aggregate, skips
@@ -135,7 +136,7 @@ def fill(group: Group, dim: str, limit: int | None, forward: bool, sizes: Sizes,
         return {f"__p_{n}": F.last(f"__t_{n}", True).over(w) for n in names}
 
     def local(w: WindowSpec) -> dict[str, Column]:
-        return {f"__new_{n}": F.last(n, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(n, True).over(w.rowsBetween(0, Window.unboundedFollowing)) for n in names}
+        return {f"__new_{n}": F.last(n, True).over((w if forward else w.orderBy(F.desc(pos(dim)))).rowsBetween(Window.unboundedPreceding, 0)) for n in names}
 
     combine = {f"__new_{n}": F.coalesce(F.col(f"__new_{n}"), F.col(f"__p_{n}").cast(group.frame().schema[n].dataType)) for n in names}
     df = scan(group.frame(), group.dims, dim, sizes, layout, total=total, prefix=prefix, local=local, combine=combine, backwards=not forward)
@@ -281,7 +282,7 @@ def _spline(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int) -> np.ndar
     return out
 
 
-def interp(group: Group, dim: str, targets: DataFrame, method: str) -> Group:
+def interp(group: Group, dim: str, targets: DataFrame, n_targets: int, method: str, sizes: Sizes, layout: Layout) -> Group:
     """Values at new labels (targets: position, label); missing outside the source's range.
 
     linear and nearest bracket each target between its neighbours on the
@@ -312,16 +313,11 @@ def interp(group: Group, dim: str, targets: DataFrame, method: str) -> Group:
         return Group(group.dims, df.select(*group.keys(), *names), {n: F.col(n) for n in names}, dict.fromkeys(names, "float"))
     if method not in ("linear", "slinear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
-    source = frame.select(F.col(dim).alias("x"), F.col(pos(dim)).alias("p")).distinct()
-    asked = targets.select(F.col(dim).alias("x"), F.col(pos(dim)).alias("t"))
-    marks = source.select("x", "p", F.lit(None).cast("long").alias("t")).unionByName(asked.select("x", F.lit(None).cast("long").alias("p"), "t"))
-    near = Window.orderBy("x", F.col("t").isNotNull())
-    bracket = marks.withColumns({
-        "lo": F.last(F.when(F.col("p").isNotNull(), F.struct("x", "p")), True).over(near.rowsBetween(Window.unboundedPreceding, 0)),
-        "hi": F.first(F.when(F.col("p").isNotNull(), F.struct("x", "p")), True).over(Window.orderBy("x", F.col("t").isNull()).rowsBetween(0, Window.unboundedFollowing)),
-    }).where(F.col("t").isNotNull())
-    exact = (F.col("lo.x") == F.col("x")).alias("exact")
-    bracket = bracket.select(F.col("t"), F.col("x").alias("tx"), F.col("lo.p").alias("lp"), F.when(exact, F.col("lo.p")).otherwise(F.col("hi.p")).alias("hp"), F.col("lo.x").alias("lx"), F.when(exact, F.col("lo.x")).otherwise(F.col("hi.x")).alias("hx"))
+    source = frame.select(F.col(dim).alias("label"), F.col(pos(dim)).alias("old")).distinct()
+    asked = targets.select(F.col(dim).alias("label"), F.col(pos(dim)).alias("new"))
+    # bracketed on the coordinate alone; at a known label both neighbours are that label
+    bracket = neighbours(source, asked, sizes[dim] + n_targets, layout.block)
+    bracket = bracket.select(F.col("new").alias("t"), F.col("label").alias("tx"), F.col("lo.old").alias("lp"), F.col("hi.old").alias("hp"), F.col("lo.label").alias("lx"), F.col("hi.label").alias("hx"))
     lows = frame.select(F.col(pos(dim)).alias("lp"), *others, *(F.col(n).alias(f"__l_{n}") for n in names))
     highs = frame.select(F.col(pos(dim)).alias("hp"), *(pos(d) for d in group.dims if d != dim), *(F.col(n).alias(f"__h_{n}") for n in names))
     grid = bracket.crossJoin(frame.select(*others).distinct()) if others else bracket
