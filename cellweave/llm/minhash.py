@@ -212,7 +212,7 @@ def plausible(a: str, b: str, scheme: Scheme) -> Column:
 
 
 #: Members of one star whose texts one copy of the centre's text serves.
-PER_COPY = 256
+PER_COPY = 64
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, several: DataFrame, scheme: Scheme, keep: Scratch) -> DataFrame:
