@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import elementwise as ew
 from .functions.expressions import evaluate as evaluate_text
 from .operators import exact, grouping, indexing, linalg, reductions, scans
-from .plans.positions import coordinate, number_rows
+from .plans.positions import coordinate, number_rows, number_sorted
 from .plans.windows import Layout, pos
 from .schema import Group, Meta
 
@@ -374,8 +374,9 @@ class Lattice:
         turn = lambda a, b, ka, kb: do(b, a, kb, ka) if swapped else do(a, b, ka, kb)
         other = _value(other)
         if not isinstance(other, Lattice):
-            if isinstance(other, np.ndarray):
-                raise TypeError("wrap raw arrays first: from_numpy")
+            if isinstance(other, np.ndarray) and other.ndim:
+                return self._binary(op, self._beside(other), swapped, fn)
+            other = _value(other[()]) if isinstance(other, np.ndarray) else other
             c, k = ew.as_column(other), "float" if isinstance(other, Column) else ew.kind_of_value(other)
             return self._map(lambda a, ka: turn(a, c, ka, k))
         groups, sizes = [], self.sizes | other.sizes
@@ -384,6 +385,17 @@ class Lattice:
             groups.append(Group(g.dims, g.df, {n: c for n, (c, _) in made.items()}, {n: k for n, (_, k) in made.items()}))
         return self._new(groups, sizes, labelled=self._meta.labelled | other._meta.labelled)
 
+    def _beside(self, values: np.ndarray) -> Lattice:
+        """A raw array as one on this array's last dimensions; a length of one stands for all cells of a dimension."""
+        from .sources.build import from_numpy
+
+        dims = self.dims[len(self.dims) - values.ndim :] if values.ndim <= len(self.dims) else ()
+        if len(dims) != values.ndim or any(n not in (1, self.sizes[d]) for d, n in zip(dims, values.shape, strict=True)):
+            raise ValueError(f"a raw array of shape {values.shape} doesn't fit {dict((d, self.sizes[d]) for d in self.dims)}")
+        whole = [d for d, n in zip(dims, values.shape, strict=True) if n == self.sizes[d]]
+        shape = tuple(self.sizes[d] for d in whole)
+        return from_numpy(self._groups[0].df.sparkSession, values.reshape(shape), whole, name="__raw")
+
     def __array_ufunc__(self, ufunc: np.ufunc, method: str, *inputs: object, **kwargs: object) -> Lattice:
         if method != "__call__" or kwargs.get("out") is not None:
             return NotImplemented
@@ -429,22 +441,25 @@ class Lattice:
         if not drop:
             return out
         for d in cond.sizes:
-            held = cond._groups[0].frame().where(F.col(cond._one())).select(pos(d)).distinct()
-            kept = [r[0] for r in held.orderBy(pos(d)).collect()]
-            out = out.isel({d: kept})
+            held = cond._groups[0].frame().where(F.col(cond._one())).select(F.col(pos(d)).alias("old"), F.col(d).alias("label")).distinct()
+            n = held.count()
+            mapping = indexing.sort_mapping(held, [], True, n, self._layout.block)
+            out = out._per_group(d, lambda g, d=d, mapping=mapping: indexing.take_map(g, d, mapping, None, False), n)
         return out
 
     def apply(self, func: Callable, *args: object, **kwargs: object) -> Lattice:
-        """func of this array's columns (and those of other arrays among args), returning a Column.
+        """func of this array's columns and those of all arrays among args, returning a Column.
 
         It may be built of Spark's functions or be a pandas_udf. Dimensions stay.
         """
-        others = [a for a in args if isinstance(a, Lattice)]
-        if len(others) > 1:
-            raise ValueError("apply() takes at most one other array; combine them first")
-        if others:
-            at = next(i for i, a in enumerate(args) if isinstance(a, Lattice))
-            return self._binary("apply", others[0], fn=lambda a, b, ka, kb: (func(a, *args[:at], b, *args[at + 1 :], **kwargs), "float"))
+        spots = [i for i, a in enumerate(args) if isinstance(a, Lattice)]
+        if spots:
+            # all arrays in one row per cell, then one expression over them
+            joined = self._map(lambda c, k: (F.struct(c.alias("own")), "other"))
+            for i in spots:
+                joined = joined._binary("apply", args[i], fn=lambda a, b, ka, kb, i=i: (a.withField(f"a{i}", b), "other"))
+            fields = lambda c: [c[f"a{i}"] if i in spots else a for i, a in enumerate(args)]
+            return joined.apply(lambda c: func(c["own"], *fields(c), **kwargs))
         groups = []
         for g in self._groups:
             made = {n: func(c, *args, **kwargs) for n, c in g.exprs.items()}
@@ -757,12 +772,35 @@ class Lattice:
         made = linalg.contract(self._groups[0], a, right._groups[0], b, a)
         return self._new([made], self.sizes | right.sizes, labelled=self._meta.labelled | right._meta.labelled)
 
-    def halo(self, dim: str, before: int, after: int, *, blocks: int, cyclic: bool = False) -> DataFrame:
-        """Rows per block with those of neighbouring blocks within reach: column `block`, and `halo` for copies."""
-        from .plans.halos import with_halo
+    def largest(self, dim: str, by: Lattice | str, k: int, *, ascending: bool = False) -> Lattice:
+        """The k cells of dim with the largest (smallest, if ascending) values of a one-dimensional key, in that order, without sorting the rest."""
+        key = self[by] if isinstance(by, str) and by in self.variables else by
+        keyed = self.coordinate(dim).select(F.col(pos(dim)).alias("old"), F.col(dim).alias("label"))
+        if isinstance(key, str):
+            keyed = keyed.withColumn("__k0", F.col("label"))
+        else:
+            keyed = keyed.join(key.frame().select(F.col(pos(dim)).alias("old"), F.col(key._one()).alias("__k0")), "old")
+        order = [F.asc_nulls_last("__k0"), F.asc("old")] if ascending else [F.desc_nulls_first("__k0"), F.desc("old")]
+        n = min(k, self.sizes[dim])
+        mapping = F.broadcast(number_sorted(keyed.orderBy(*order).limit(n), order, "new", n, max(n, 1)).select("new", "label", "old"))
+        return self._per_group(dim, lambda g: indexing.take_map(g, dim, mapping, None, False), n)
+
+    def halo(self, dim: str | Iterable[str], before: int | Iterable[int], after: int | Iterable[int], *, blocks: int | Iterable[int], cyclic: bool | Iterable[bool] = False) -> DataFrame:
+        """Rows per block with those of neighbouring blocks within reach: column `block`, and `halo` for copies.
 
-        self._need(dim)
-        return with_halo(self.frame(), dim, self.sizes[dim], blocks, before, after, cyclic)
+        With several dimensions, corners included, `block` and `at` are structs
+        by dimension.
+        """
+        from .plans.halos import with_halo, with_halos
+
+        if isinstance(dim, str):
+            self._need(dim)
+            return with_halo(self.frame(), dim, self.sizes[dim], blocks, before, after, cyclic)
+        dims = list(dim)
+        for d in dims:
+            self._need(d)
+        each = lambda x: list(x) if isinstance(x, (list, tuple)) else [x] * len(dims)
+        return with_halos(self.frame(), [(d, self.sizes[d], *rest) for d, *rest in zip(dims, each(blocks), each(before), each(after), each(cyclic), strict=True)])
 
     def to_store(self, path: str, **how: object) -> None:
         from .sources.store import write
@@ -801,6 +839,10 @@ class Rolling:
     def __init__(self, parent: Lattice, dim: str, window: int, center: bool, min_periods: int | None):
         self._run = lambda op: parent.rolling_reduce(dim, window, op, center=center, min_periods=min_periods)
 
+    def reduce(self, name: str) -> Lattice:
+        """Any named reduction, own ones included."""
+        return self._run(name)
+
     def mean(self) -> Lattice:
         return self._run("mean")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,51 +31,65 @@ def sum_columns(df: DataFrame, value: str, prefix: str = "__d") -> DataFrame:
 def exact_sum(df: DataFrame, value: str, keys: list[str], into: str = "sum") -> DataFrame:
     """Sum of `value` per keys, bit for bit the same for any partitioning; missing values count as 0."""
     wide = sum_columns(df.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(0.0))), value)
-    sums = [F.sum(F.col(f"__d{i}").cast("decimal(20,0)")).alias(f"__s{i}") for i in range(DIGITS)]
-    told = wide.groupBy(*keys).agg(*sums) if keys else wide.agg(*sums)
-    # carry into a canonical form, so that equal sums have equal digits; then add the smallest first
+    told = _carried(wide.groupBy(*keys).agg(*_digit_sums()) if keys else wide.agg(*_digit_sums()))
+    return told.select(*keys, _joined(range(DIGITS)).alias(into))
+
+
+def _digit_sums() -> list[Column]:
+    return [F.coalesce(F.sum(F.col(f"__d{i}").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).alias(f"__s{i}") for i in range(DIGITS)]
+
+
+def _carried(told: DataFrame) -> DataFrame:
+    """Summed digits in canonical form: all but the first lie in [0, 2 ** DIGIT_BITS), so that equal sums have equal digits."""
     base = F.lit(2**DIGIT_BITS).cast("decimal(20,0)")
     for i in range(DIGITS - 1, 0, -1):
         low = F.col(f"__s{i}")
-        carry = F.floor(low / base).cast("decimal(20,0)")
-        told = told.withColumn("__c", carry)
+        told = told.withColumn("__c", F.floor(low / base).cast("decimal(20,0)"))
         told = told.withColumns({f"__s{i}": low - F.col("__c") * base, f"__s{i - 1}": F.col(f"__s{i - 1}") + F.col("__c")})
+    return told
+
+
+def _joined(digits: Iterable[int]) -> Column:
+    """The number that some of the digits make, the smallest added first."""
     total = F.lit(0.0)
-    for i in range(DIGITS - 1, -1, -1):
-        total = total + F.coalesce(F.col(f"__s{i}").cast("double"), F.lit(0.0)) * SCALES[i]
-    return told.select(*keys, total.alias(into))
+    for i in sorted(digits, reverse=True):
+        total = total + F.col(f"__s{i}").cast("double") * SCALES[i]
+    return total
+
+
+#: The digit that counts ones; those after it are the fraction.
+ONES = SCALES.index(1.0)
 
 
 def exact_product(df: DataFrame, value: str, keys: list[str], into: str = "product", integer: bool = False) -> DataFrame:
-    """Product per keys by exactly summed logarithms of mantissas and integer exponents; tallies decide signs and special values.
+    """Product per keys, bit for bit the same for any partitioning.
 
-    Missing values are skipped. Zero times an infinity, and any NaN, is missing.
+    A factor is 2 ** (e + l), with e a whole number near its logarithm and l what
+    is left. The sum of all e and the digits of the sum of all l are exact, and so
+    is the split of their total into a whole number and a fraction. Signs join by
+    exclusive or of the sign bits, that of a zero included. Missing values are
+    skipped; a product with a NaN, or of a zero and an infinity, is missing.
     """
-    v = F.col(value).cast("double")
-    size = F.abs(v)
-    finite = (size > 0) & (size < float("inf"))
-    e0 = F.floor(F.log2(F.when(finite, size))).cast("int")
-    df = df.withColumns({"__e": F.when(finite, e0)})
-    m0 = F.when(finite, size) * F.pow(F.lit(2.0), -F.col("__e").cast("double"))
-    df = df.withColumns({"__m": m0})
-    # log2 may round across a power of two
-    off = F.when(F.col("__m") >= 2, 1).when(F.col("__m") < 1, -1).otherwise(0)
-    df = df.withColumns({"__e": F.col("__e") + off, "__m": F.col("__m") * F.pow(F.lit(2.0), -off.cast("double"))})
-    df = df.withColumns({"__l": F.coalesce(F.log2("__m"), F.lit(0.0)), "__neg": (v < 0).cast("int"), "__zero": (v == 0).cast("int"), "__inf": (size == float("inf")).cast("int"), "__nan": F.isnan(v).cast("int")})
+    v, size = F.col(value).cast("double"), F.abs(F.col(value).cast("double"))
+    plain = (size > 0) & (size < float("inf"))
+    near = F.when(plain, F.rint(F.log2(size))).otherwise(F.lit(0.0))
+    # in two steps: 2 ** 1074, by which the smallest numbers are scaled, isn't a double
+    half = F.rint(F.col("__e") / 2)
+    rest = F.when(plain, F.log2(size * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - F.col("__e")))).otherwise(F.lit(0.0))
+    df = df.where(F.col(value).isNotNull()).withColumn("__e", near).withColumns({
+        "__l": rest, "__sign": F.shiftrightunsigned(raw_bits(v), 63), "__none": size == 0, "__all": size == float("inf"), "__odd": F.isnan(v),
+    })
     wide = sum_columns(df, "__l")
-    tallies = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("__neg", "__zero", "__inf", "__nan")]
-    sums = [F.sum(F.col(f"__d{i}").cast("decimal(20,0)")).alias(f"__s{i}") for i in range(DIGITS)]
-    aggs = [*tallies, *sums, F.coalesce(F.sum(F.col("__e").cast("long")), F.lit(0)).alias("__e")]
-    told = wide.groupBy(*keys).agg(*aggs) if keys else wide.agg(*aggs)
-    log = F.lit(0.0)
-    for i in range(DIGITS - 1, -1, -1):
-        log = log + F.coalesce(F.col(f"__s{i}").cast("double"), F.lit(0.0)) * SCALES[i]
-    whole = F.floor(log)
-    power = F.col("__e") + whole
-    half = F.floor(power / 2)  # in two steps, so that neither overflows alone
-    size = F.pow(F.lit(2.0), log - whole) * F.pow(F.lit(2.0), half.cast("double")) * F.pow(F.lit(2.0), (power - half).cast("double"))
-    sign = F.when(F.col("__neg") % 2 == 1, -1.0).otherwise(1.0)
-    out = F.when((F.col("__nan") > 0) | ((F.col("__inf") > 0) & (F.col("__zero") > 0)), F.lit(None).cast("double")).when(F.col("__zero") > 0, F.lit(0.0)).when(F.col("__inf") > 0, sign * float("inf")).otherwise(sign * size)
+    flags = [F.coalesce(F.bit_xor("__sign"), F.lit(0)).alias("__sign"), *(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("__none", "__all", "__odd"))]
+    aggs = [*flags, *_digit_sums(), F.coalesce(F.sum(F.col("__e").cast("long")), F.lit(0)).alias("__e")]
+    told = _carried(wide.groupBy(*keys).agg(*aggs) if keys else wide.agg(*aggs))
+    told = told.withColumn("__k", F.least(F.greatest(F.col("__e") + _joined(range(ONES + 1)), F.lit(-4000.0)), F.lit(4000.0)))
+    step = lambda n: F.pow(F.lit(2.0), n)
+    part = F.rint(F.col("__k") / 4)  # of a power of two that may not be a double by itself
+    magnitude = step(_joined(range(ONES + 1, DIGITS))) * step(part) * step(part) * step(part) * step(F.col("__k") - 3 * part)
+    unsigned = F.when(F.col("__none"), F.lit(0.0)).when(F.col("__all"), F.lit(float("inf"))).otherwise(magnitude)
+    lost = F.col("__odd") | (F.col("__none") & F.col("__all"))
+    out = F.when(~lost, F.when(F.col("__sign") == 1, -unsigned).otherwise(unsigned))
     return told.select(*keys, (F.rint(out).cast("long") if integer else out).alias(into))
 
 

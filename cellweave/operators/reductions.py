@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,20 @@ from ..schema import Group
 QUANTILE_METHODS = ("linear", "lower", "higher", "nearest", "midpoint")
 
 
+#: Reductions by names of one's own.
+OWN: dict[str, Callable[[Column, Callable[[Column], Column]], Column]] = {}
+
+
+def register(name: str, fn: Callable[[Column, Callable[[Column], Column]], Column]) -> None:
+    """Make a reduction known to rolling and coarsened windows.
+
+    fn(values, of) returns a column made of aggregates of values, each passed
+    through `of`, which ties it to the window or group: for the range of values
+    `lambda c, of: of(F.max(c)) - of(F.min(c))`.
+    """
+    OWN[name] = fn
+
+
 def skips(kind: Kind, skipna: bool | None) -> bool:
     """By default only floats skip missing values."""
     return kind == "float" if skipna is None else skipna
@@ -58,6 +74,8 @@ def aggregate(op: str, c: Column, kind: Kind, *, skipna: bool | None = None, min
         return whole(c, F.median(num), skip), "float"
     if op == "quantile":
         return whole(c, quantile(num, *q), skip), "float"
+    if op in OWN:
+        return whole(c, OWN[op](num, lambda a: a), skip), "float"
     raise ValueError(f"unknown reduction {op!r}")
 
 

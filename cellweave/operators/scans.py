@@ -12,9 +12,9 @@ from ..functions.elementwise import as_column, divide, no_nan
 from ..plans.positions import neighbours
 from ..plans.windows import Layout, along, pos, scan, stencil
 from ..schema import Group
-from .reductions import aggregate, skips
+from .reductions import OWN, aggregate, skips
 
-ROLLING_OPS = ("sum", "mean", "min", "max", "std", "var", "count", "median")
+ROLLING = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "var": F.var_pop, "median": F.median, "prod": F.product, "first": lambda c: F.first(c, True), "last": lambda c: F.last(c, True)}
 Sizes = dict[str, int]
 
 
@@ -31,8 +31,8 @@ def rolling(group: Group, dim: str, window: int, op: str, center: bool, min_peri
     """
     if window < 1:
         raise ValueError("a window has at least one cell")
-    if op not in ROLLING_OPS:
-        raise ValueError(f"rolling reductions are {ROLLING_OPS}, not {op!r}")
+    if op != "count" and op not in ROLLING and op not in OWN:
+        raise ValueError(f"rolling reductions are {(*ROLLING, 'count', *OWN)}, not {op!r}")
     need = window if min_periods is None else min_periods
     before = window // 2 if center else window - 1
     after = window - 1 - before
@@ -46,7 +46,8 @@ def rolling(group: Group, dim: str, window: int, op: str, center: bool, min_peri
             if op == "count":
                 out[f"__new_{n}"] = valid.cast("double")
                 continue
-            value = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "var": F.var_pop, "median": F.median}[op](c).over(frame)
+            over = lambda a, frame=frame: a.over(frame)
+            value = OWN[op](c, over) if op in OWN else over(ROLLING[op](c))
             out[f"__new_{n}"] = F.when(valid >= need, F.coalesce(value, F.lit(0.0)) if op == "sum" else value)
         return out
 
@@ -203,9 +204,9 @@ def pad(group: Group, dim: str, before: int, after: int, value: object, sizes: S
     kept = frame.withColumn(pos(dim), F.col(pos(dim)) + before)
     if not before + after:
         return group
-    spots = [*range(before), *range(sizes[dim] + before, sizes[dim] + before + after)]
     others = [c for c in group.keys(dim)]
-    edge = frame.sparkSession.createDataFrame([(s,) for s in spots], f"`{pos(dim)}` long")
+    spot = F.col("id")
+    edge = frame.sparkSession.range(before + after).select(F.when(spot < before, spot).otherwise(spot + sizes[dim]).alias(pos(dim)))
     grid = frame.select(*others).distinct().crossJoin(edge) if others else edge
     types = dict(frame.dtypes)
     # an int can't hold a missing value's float; it is widened as arrays are

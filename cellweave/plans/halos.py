@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import HaloWidthError, compute_domains
@@ -39,6 +39,54 @@ def with_halo(df: DataFrame, dim: str, size: int, blocks: int, before: int, afte
     return spread.withColumn("halo", ~F.coalesce(home == F.col("block"), F.lit(False)))
 
 
+def with_halos(df: DataFrame, along: list[tuple[str, int, int, int, int, bool]]) -> DataFrame:
+    """Halos on several dimensions, one after the other, so that corners come along.
+
+    along: (dim, size, blocks, before, after, cyclic). `block` and `at` hold one
+    field per dimension; a row is a copy if it is one on any of them.
+    """
+    if not along:
+        raise ValueError("a halo needs a dimension")
+    for i, (dim, size, blocks, before, after, cyclic) in enumerate(along):
+        df = with_halo(df, dim, size, blocks, before, after, cyclic).withColumnsRenamed({"block": f"__b{i}", "at": f"__a{i}", "halo": f"__h{i}"})
+    names = [a[0] for a in along]
+    joined = lambda p: F.struct(*(F.col(f"{p}{i}").alias(n) for i, n in enumerate(names)))
+    copy = F.lit(False)
+    for i in range(len(along)):
+        copy = copy | F.col(f"__h{i}")
+    made = [f"__{x}{i}" for x in "bah" for i in range(len(along))]
+    return df.withColumns({"block": joined("__b"), "at": joined("__a"), "halo": copy}).drop(*made)
+
+
+def update_group(fields: list[DataFrame], keys: list[str], dim: str, size: int, blocks: int, before: int, after: int, cyclic: bool = False) -> DataFrame:
+    """Halos of several fields on the same cells in one exchange: joined by their keys first, copied once."""
+    if not fields:
+        raise ValueError("a group update needs a field")
+    rows = fields[0]
+    for more in fields[1:]:
+        rows = rows.join(more.select(*keys, *(c for c in more.columns if c not in rows.columns)), keys)
+    return with_halo(rows, dim, size, blocks, before, after, cyclic)
+
+
+def fold_fields(fields: list[DataFrame], keys: list[str], values: list[str], op: str = "sum") -> DataFrame:
+    """Cell by cell the sum, minimum or maximum of fields of the same shape."""
+    if not fields:
+        raise ValueError("there are no fields")
+    rows = fields[0].select(*keys, *values)
+    for more in fields[1:]:
+        rows = rows.unionByName(more.select(*keys, *values))
+    fold = {"sum": F.sum, "min": F.min, "max": F.max}[op]
+    return rows.groupBy(*keys).agg(*(fold(v).alias(v) for v in values))
+
+
+def partition_offsets(df: DataFrame) -> DataFrame:
+    """(partition, n, offset): the rows of each partition and of all before it."""
+    sizes = df.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("n"))
+    # one row per partition
+    earlier = Window.orderBy("partition").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+
 def boundary(df: DataFrame, dim: str, size: int, blocks: int) -> DataFrame:
     """First and last rows of every block."""
     edges = sorted({p for a, b in compute_domains(size, blocks) if b > a for p in (a, b - 1)})

@@ -20,9 +20,27 @@ def test_extents():
 
 
 def test_layouts():
-    assert blocks.define_layout(100, 100, 4) == (2, 2)
-    assert blocks.define_layout(1000, 10, 4) == (4, 1)
-    assert np.prod(blocks.define_grid([30, 20, 10], 12)) == 12
+    assert blocks.define_layout([100, 100], 4) == (2, 2)
+    assert blocks.define_layout([1000, 10], 4) == (4, 1)
+    assert blocks.define_layout([2, 100], 8) == (1, 8) and blocks.define_layout([7], 3) == (3,)
+    assert sorted(blocks.shapes(4, 2)) == [(1, 4), (2, 2), (4, 1)]
+    for extents, n in (((30, 20, 10), 12), ((5, 5, 5), 8), ((1, 1, 9), 6)):
+        got = blocks.define_layout(extents, n)
+        full = lambda s, e=extents: np.prod([min(a, b) for a, b in zip(s, e, strict=True)])
+        assert np.prod(got) == n and full(got) == max(map(full, blocks.shapes(n, 3)))
+    assert blocks.define_layout((5, 5, 5), 8) == (2, 2, 2)
+    with pytest.raises(ValueError):
+        blocks.define_layout([], 2)
+
+
+def test_chunk_bounds():
+    assert blocks.aligned_domains(100, 3, [4, 6]) == [(0, 36), (36, 72), (72, 100)]
+    assert blocks.aligned_domains(10, 4, [4]) == blocks.compute_domains(10, 4)
+    chunks = blocks.save_chunks((100, 8), [blocks.aligned_domains(100, 3, [4, 6]), [(0, 8)]], 8, 1000)
+    assert 36 % chunks[0] == 0 and 8 % chunks[1] == 0 and chunks[0] * chunks[1] * 8 <= 1000
+
+
+def test_domain():
     d = blocks.Domain(("y", "x"), (11, 13), (2, 3), {"x": (1, 2)}, frozenset({"x"}))
     assert d.compute_domain("x", 0) == (0, 5) and d.data_domain("x", 0) == (-1, 7)
     assert d.neighbours("x", 0) == (2, 1) and d.neighbours("y", 0) == (None, 3)
