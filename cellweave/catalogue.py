@@ -53,6 +53,12 @@ def o1(spark: SparkSession, d: str) -> Lattice:
     return Lattice.from_frame(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], ["o_totalprice"], check=False)
 
 
+def steps(spark: SparkSession, d: str, step: float) -> DataFrame:
+    """Labels 0, step, 2 * step, ... up to the largest order key."""
+    top = read(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return spark.range(int(top // step) + 1).select((F.col("id") * step).alias("x"))
+
+
 def matrix(spark: SparkSession, d: str) -> Lattice:
     """Features count from 0; both coordinates are dense, so positions need no search."""
     cells = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("feature", "x")).select("vec_id", F.col("feature").cast("long").alias("feature"), F.col("x").cast("double").alias("x"))
@@ -239,11 +245,11 @@ def differentiate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH t AS (SELECT i * 2.5 AS x FROM range(0, 2000) r(i)), o AS (SELECT o_orderkey::DOUBLE AS k, o_totalprice AS v FROM orders), lo AS (SELECT t.x, o.k, o.v FROM t ASOF LEFT JOIN o ON t.x >= o.k), hi AS (SELECT t.x, o.k, o.v FROM t ASOF LEFT JOIN o ON t.x <= o.k) "
+    "WITH t AS (SELECT i * 2.5 AS x FROM range(0, (SELECT CAST(floor(max(o_orderkey) / 2.5) AS BIGINT) + 1 FROM orders)) r(i)), o AS (SELECT o_orderkey::DOUBLE AS k, o_totalprice AS v FROM orders), lo AS (SELECT t.x, o.k, o.v FROM t ASOF LEFT JOIN o ON t.x >= o.k), hi AS (SELECT t.x, o.k, o.v FROM t ASOF LEFT JOIN o ON t.x <= o.k) "
     "SELECT lo.x AS o_orderkey, round(CASE WHEN lo.k = hi.k THEN lo.v ELSE lo.v + (hi.v - lo.v) * ((lo.x - lo.k) / (hi.k - lo.k)) END, 3) AS o_totalprice FROM lo JOIN hi USING (x)"
 )
 def interp_linear(spark: SparkSession, d: str) -> DataFrame:
-    return out(o1(spark, d).assign_coords(o_orderkey=lambda c: c.cast("double")).interp("o_orderkey", [i * 2.5 for i in range(2000)]), 3)
+    return out(o1(spark, d).assign_coords(o_orderkey=lambda c: c.cast("double")).interp("o_orderkey", steps(spark, d, 2.5)), 3)
 
 
 # -- elementwise ---------------------------------------------------------------------
@@ -299,14 +305,14 @@ def sel_nearest(spark: SparkSession, d: str) -> DataFrame:
     return out(x.sel(ts=dt.datetime.combine(first.date(), dt.time()) + dt.timedelta(hours=36), method="nearest"))
 
 
-@query("SELECT x AS o_orderkey, round(coalesce(o_totalprice, CASE WHEN o_orderkey IS NULL THEN -1 END), 4) AS o_totalprice FROM (SELECT i * 7 AS x FROM range(0, 3000) r(i)) LEFT JOIN orders ON x = o_orderkey")
+@query("SELECT x AS o_orderkey, round(coalesce(o_totalprice, CASE WHEN o_orderkey IS NULL THEN -1 END), 4) AS o_totalprice FROM (SELECT i * 7 AS x FROM range(0, (SELECT max(o_orderkey) // 7 + 1 FROM orders)) r(i)) LEFT JOIN orders ON x = o_orderkey")
 def reindex_fill(spark: SparkSession, d: str) -> DataFrame:
-    return out(o1(spark, d).reindex(o_orderkey=[i * 7 for i in range(3000)], fill_value=-1.0))
+    return out(o1(spark, d).reindex(o_orderkey=steps(spark, d, 7), fill_value=-1.0))
 
 
-@query("SELECT x AS o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM (SELECT i * 7 AS x FROM range(0, 3000) r(i)) t ASOF LEFT JOIN orders o ON t.x >= o.o_orderkey")
+@query("SELECT x AS o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM (SELECT i * 7 AS x FROM range(0, (SELECT max(o_orderkey) // 7 + 1 FROM orders)) r(i)) t ASOF LEFT JOIN orders o ON t.x >= o.o_orderkey")
 def reindex_ffill(spark: SparkSession, d: str) -> DataFrame:
-    return out(o1(spark, d).reindex(o_orderkey=[i * 7 for i in range(3000)], method="ffill"))
+    return out(o1(spark, d).reindex(o_orderkey=steps(spark, d, 7), method="ffill"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) - 1 AS place FROM orders")
@@ -319,7 +325,7 @@ def sortby_desc(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey DESC LIMIT 10")
 def topk(spark: SparkSession, d: str) -> DataFrame:
     x = o1(spark, d)
-    return out(x.sortby(x, ascending=False).isel(o_orderkey=slice(0, 10)))
+    return out(x.largest("o_orderkey", x, 10))
 
 
 @query(f"WITH {E2_SQL} SELECT day, event_type, round(v / n, 4) AS v FROM e2")
@@ -360,7 +366,7 @@ def checksum_int(spark: SparkSession, d: str) -> DataFrame:
     return exact.checksum(read(spark, d, "events"), "user_id", ["event_type"])
 
 
-@query()
+@query("SELECT event_type, CAST(CASE WHEN s >= 9223372036854775808 THEN s - 18446744073709551616 ELSE s END AS BIGINT) AS checksum FROM (SELECT event_type, ((sum(CAST(CAST(value AS BIT) AS BIGINT)) % 18446744073709551616) + 18446744073709551616) % 18446744073709551616 AS s FROM events GROUP BY 1)")
 def checksum(spark: SparkSession, d: str) -> DataFrame:
     return exact.checksum(read(spark, d, "events"), "value", ["event_type"])
 
@@ -396,6 +402,177 @@ def ufunc_maximum(spark: SparkSession, d: str) -> DataFrame:
     return out(apply_named("maximum", e2(spark, d, masked=True), 3000.0))
 
 
+# -- more of the above: methods, schema edits, storage --------------------------------
+
+
+def _asof(name: str, method: str, sql: str) -> None:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        return out(o1(spark, d).isel(o_orderkey=slice(0, None, 3)).reindex(o_orderkey=steps(spark, d, 7), method=method))
+
+    fn.__name__ = name
+    query(
+        "WITH o AS (SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i % 3 = 0), t AS (SELECT i * 7 AS x FROM range(0, (SELECT max(o_orderkey) // 7 + 1 FROM orders)) r(i)), "
+        "lo AS (SELECT t.x, o.o_orderkey AS k, o.o_totalprice AS v FROM t ASOF LEFT JOIN o ON t.x >= o.o_orderkey), hi AS (SELECT t.x, o.o_orderkey AS k, o.o_totalprice AS v FROM t ASOF LEFT JOIN o ON t.x <= o.o_orderkey) "
+        f"SELECT lo.x AS o_orderkey, round({sql}, 4) AS o_totalprice FROM lo JOIN hi USING (x)"
+    )(fn)
+
+
+_asof("reindex_bfill", "bfill", "hi.v")
+_asof("reindex_nearest", "nearest", "CASE WHEN lo.k IS NULL OR hi.k - lo.x <= lo.x - lo.k THEN hi.v ELSE lo.v END")
+
+
+@query(
+    "WITH t AS (SELECT i * 2.5 AS x FROM range(0, (SELECT CAST(floor(max(o_orderkey) / 2.5) AS BIGINT) + 1 FROM orders)) r(i)), o AS (SELECT o_orderkey::DOUBLE AS k, o_totalprice AS v FROM orders), lo AS (SELECT t.x, o.k, o.v FROM t ASOF LEFT JOIN o ON t.x >= o.k), hi AS (SELECT t.x, o.k, o.v FROM t ASOF LEFT JOIN o ON t.x <= o.k) "
+    "SELECT lo.x AS o_orderkey, round(CASE WHEN lo.k IS NULL OR hi.k IS NULL THEN NULL WHEN lo.x - lo.k <= hi.k - lo.x THEN lo.v ELSE hi.v END, 3) AS o_totalprice FROM lo JOIN hi USING (x)"
+)
+def interp_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return out(o1(spark, d).assign_coords(o_orderkey=lambda c: c.cast("double")).interp("o_orderkey", steps(spark, d, 2.5), "nearest"), 3)
+
+
+def _polynomial(name: str, method: str, power: int) -> None:
+    """Splines through a polynomial of their own degree are that polynomial."""
+
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        x = o1(spark, d).assign_coords(o_orderkey=lambda c: c / 1000.0)
+        curve = x.apply(lambda c: F.pow(F.col("o_orderkey"), F.lit(power)) - 2 * F.col("o_orderkey"))
+        return out(curve.interp("o_orderkey", steps(spark, d, 40).select((F.col("x") / 1000.0).alias("x")), method), 3)
+
+    fn.__name__ = name
+    query(
+        "WITH e AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders) SELECT i * 40 / 1000.0::DOUBLE AS o_orderkey, "
+        f"round(CASE WHEN i * 40 BETWEEN a AND b THEN pow(i * 40 / 1000.0::DOUBLE, {power}) - 2 * (i * 40 / 1000.0::DOUBLE) END, 3) AS o_totalprice FROM e, range(0, (SELECT max(o_orderkey) // 40 + 1 FROM orders)) r(i)"
+    )(fn)
+
+
+_polynomial("interp_quadratic", "quadratic", 2)
+_polynomial("interp_cubic", "cubic", 3)
+
+
+def _chosen(name: str, run: Callable[[Lattice], Lattice], where: str) -> None:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        return out(run(o1(spark, d)))
+
+    fn.__name__ = name
+    query(f"SELECT round(o_totalprice, 4) AS o_totalprice FROM orders WHERE {where}")(fn)
+
+
+_chosen("sel_exact", lambda x: x.sel(o_orderkey=100), "o_orderkey = 100")
+_chosen("sel_pad", lambda x: x.sel(o_orderkey=1_000_000_000, method="pad"), "o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+_chosen("sel_backfill", lambda x: x.sel(o_orderkey=-5, method="bfill", tolerance=1_000_000), "o_orderkey = (SELECT min(o_orderkey) FROM orders)")
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM (SELECT *, count(*) OVER () - row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) WHERE i % 4 = 0")
+def isel_reversed(spark: SparkSession, d: str) -> DataFrame:
+    return out(o1(spark, d).isel(o_orderkey=slice(None, None, -4)))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders WHERE o_totalprice > 250000")
+def where_drop(spark: SparkSession, d: str) -> DataFrame:
+    x = o1(spark, d)
+    return out(x.where(x > 250000.0, drop=True))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice, row_number() OVER (ORDER BY round_even(o_totalprice, -4), o_orderkey) - 1 AS place FROM orders")
+def sortby_two_keys(spark: SparkSession, d: str) -> DataFrame:
+    x = o1(spark, d)
+    df = x.sortby([x.round(-4), "o_orderkey"]).frame()
+    return df.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"), F.col("__pos_o_orderkey").alias("place"))
+
+
+_prices("power_root", lambda x: x**0.5 + 2.0 ** (x / 100000.0), "round(pow(o_totalprice, 0.5) + pow(2, o_totalprice / 100000), 4)")
+_prices("unary_abs", lambda x: abs(-x + 100000.0) - +x, "round(abs(100000 - o_totalprice) - o_totalprice, 4)")
+_prices("astype_int", lambda x: np.floor(x / 7).astype("bigint") * 3, "CAST(floor(o_totalprice / 7) AS BIGINT) * 3")
+_prices("bit_operations", lambda x: ((x / 100).astype("bigint") & 255) ^ ((x / 100).astype("bigint") << 2) | 1, "xor(CAST(trunc(o_totalprice / 100) AS BIGINT) & 255, CAST(trunc(o_totalprice / 100) AS BIGINT) << 2) | 1")
+_prices("logic", lambda x: ((x > 100000.0) & ~(x > 200000.0)) | (x < 50000.0), "((o_totalprice > 100000 AND NOT o_totalprice > 200000) OR o_totalprice < 50000)")
+_prices("ufunc_trigonometry", lambda x: np.sin(x) + np.cos(x) * np.arctan2(x, 2.0) + np.tanh(x / 1e6) + np.deg2rad(x / 1e4), "round(sin(o_totalprice) + cos(o_totalprice) * atan2(o_totalprice, 2) + tanh(o_totalprice / 1e6) + radians(o_totalprice / 1e4), 4)")
+_prices("ufunc_logarithms", lambda x: np.log1p(x) + np.log2(x) + np.log10(x) + np.cbrt(x) + np.expm1(x / 1e6) + np.sign(x - 150000.0), "round(ln(1 + o_totalprice) + log2(o_totalprice) + log10(o_totalprice) + cbrt(o_totalprice) + exp(o_totalprice / 1e6) - 1 + sign(o_totalprice - 150000), 4)")
+_prices("apply_function", lambda x: x.apply(lambda c, y, k: c + y * k, x / 2, 3.0), "round(o_totalprice + o_totalprice / 2 * 3, 4)")
+_prices("cyclic_roll_back", lambda x: x.roll("o_orderkey", 5).roll("o_orderkey", -5), "round(o_totalprice, 4)")
+
+_cube_window("raw_operand", lambda x: x * np.arange(x.sizes["event_type"], dtype=float), "SELECT day, event_type, round(v * pt, 4) AS v FROM m")
+_cube_window("rolling_median", lambda x: x.rolling_reduce("day", 3, "median", min_periods=1), f"SELECT day, event_type, round(median(v) OVER ({BY} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS v FROM m")
+_cube_window("rolling_min", lambda x: x.rolling("day", 3, min_periods=1).min(), f"SELECT day, event_type, round(min(v) OVER ({BY} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS v FROM m")
+_cube_window("schema_edits", lambda x: x.rename({"day": "date", "v": "amount"}).transpose("event_type", "date").rename({"date": "day"}).rename_vars({"amount": "v"}).expand_dims("run").isel(run=0), "SELECT day, event_type, round(v, 4) AS v FROM m")
+_cube_window("assign_labels", lambda x: x.assign_coords(event_type=lambda c: F.upper(c)), "SELECT day, upper(event_type) AS event_type, round(v, 4) AS v FROM m")
+_cube_window("bfill_limit", lambda x: x.bfill("day", limit=1), f"SELECT day, event_type, round(first_value(v IGNORE NULLS) OVER ({BY} ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 4) AS v FROM m")
+_cube_window("coarsen_trim_max", lambda x: x.coarsen_reduce("day", 4, "max", boundary="trim", coord_func="first"), "SELECT min(day) AS day, event_type, round(max(v), 4) AS v FROM m WHERE pd < (SELECT (max(pd) + 1) // 4 * 4 FROM m) GROUP BY pd // 4, event_type")
+_cube_window("global_order", lambda x: Lattice.from_frame(halos.global_field(x.isel(event_type=0).frame(), "day", x.sizes["day"]).select("day", "v"), ["day"], ["v"]), "SELECT day, round(v, 4) AS v FROM m WHERE pt = 0")
+_resampled("resample_quarter_sum", "QS", "sum", "date_trunc('quarter', ts)::TIMESTAMP", "round(coalesce(sum(v), 0), 4)")
+_resampled("resample_year_end_min", "YE", "min", "(date_trunc('year', ts) + INTERVAL 1 YEAR - INTERVAL 1 DAY)::TIMESTAMP", "min(v)")
+
+
+@query("WITH e AS (SELECT ts, value AS v FROM events WHERE dayofweek(ts) NOT IN (0, 3)), a AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS o, max(ts) AS z FROM e), g AS (SELECT unnest(generate_series(o, z, INTERVAL 1 DAY)) AS ts FROM a) SELECT g.ts, count(e.v) AS v FROM g LEFT JOIN e ON date_trunc('day', e.ts) = g.ts GROUP BY 1")
+def resample_fill_gaps(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "events").where(~F.dayofweek("ts").isin(1, 4)).select("ts", F.col("value").alias("v"))
+    return out(Lattice.from_frame(rows, ["ts"], ["v"], check=False).resample("ts", "1D", fill_gaps=True).count())
+
+
+@query(f"WITH {E2_SQL}, l AS (SELECT *, n % 3 AS g FROM e2 WHERE event_type = 'click'), x AS (SELECT e2.day, e2.event_type, e2.v, l.g FROM e2 JOIN l USING (day)) SELECT CAST(g AS BIGINT) AS kind, event_type, round(sum(v), 3) AS v FROM x GROUP BY 1, 2")
+def groupby_variable(spark: SparkSession, d: str) -> DataFrame:
+    """Groups by the values of another array along the same dimension."""
+    kind = e2(spark, d, variables=("n",)).sel(event_type="click") % 3
+    return out(e2(spark, d).groupby("day", kind, "kind").sum(), 3)
+
+
+@query("SELECT i AS t, j AS y, CAST(i * 10 + j AS DOUBLE) AS v FROM range(0, 1000) r(i), range(0, 7) s(j)")
+def from_fill_function(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import from_fill
+
+    return out(from_fill(spark, lambda a, b: np.arange(a, b)[:, None] * 10.0 + np.arange(7), ["t", "y"], [1000, 7], blocks=8))
+
+
+def _stored(name: str, write: str) -> None:
+    def fn(spark: SparkSession, d: str) -> DataFrame:
+        from .plans.storage import shared_path
+        from .sources import netcdf, store
+
+        x, path = e2(spark, d, masked=True).assign_coords(event_type=lambda c: F.ascii(c).cast("long")), shared_path(spark, name)
+        if write == "store":
+            x.isel(day=slice(0, 20)).to_store(path, unlimited=["day"])
+            store.append(x.isel(day=slice(20, None)), path, "day")
+            return out(store.read(spark, path))
+        at = x.assign_coords(day=lambda c: c.cast("timestamp_ntz"))
+        at.isel(day=slice(0, 20)).to_netcdf(f"{path}.nc", unlimited_dim="day")
+        netcdf.append(at.isel(day=slice(20, None)), f"{path}.nc", "day")
+        return out(netcdf.open_dataset(spark, f"{path}.nc"))
+
+    fn.__name__ = name
+    day = "day" if write == "store" else "day::TIMESTAMP AS day"
+    query(f"WITH {E2M_SQL} SELECT {day}, CAST(ascii(event_type) AS BIGINT) AS event_type, round(v, 4) AS v FROM m")(fn)
+
+
+_stored("store_append", "store")
+_stored("netcdf_append", "netcdf")
+
+
+@query(
+    f"WITH {E2M_SQL}, n AS (SELECT max(pd) + 1 AS n, max(pt) + 1 AS k FROM m), b AS (SELECT i AS bd, j AS bt, i * (n // 3) + least(i, n % 3) AS a, (i + 1) * (n // 3) + least(i + 1, n % 3) AS z, j * (k // 2) + least(j, k % 2) AS c, (j + 1) * (k // 2) + least(j + 1, k % 2) AS y FROM range(3) r(i), range(2) s(j), n) "
+    "SELECT bd, bt, day, event_type, round(v, 4) AS v, NOT (pd >= a AND pd < z AND pt >= c AND pt < y) AS halo FROM m JOIN b ON pd >= a - 1 AND pd < z + 1 AND pt >= c - 1 AND pt < y + 1"
+)
+def halo_corners(spark: SparkSession, d: str) -> DataFrame:
+    rows = e2(spark, d, masked=True).halo(["day", "event_type"], 1, 1, blocks=[3, 2])
+    return rows.select(F.col("block.day").alias("bd"), F.col("block.event_type").alias("bt"), "day", "event_type", F.round("v", 4).alias("v"), "halo")
+
+
+@query(f"WITH {E2_SQL} SELECT day, event_type, round(v + v / 2, 3) AS v FROM e2")
+def fold_fields(spark: SparkSession, d: str) -> DataFrame:
+    x = e2(spark, d)
+    return halos.fold_fields([x.frame(), (x / 2).frame()], ["day", "event_type"], ["v"]).withColumn("v", F.round("v", 3))
+
+
+@query(f"WITH {E2_SQL}, n AS (SELECT count(DISTINCT day) AS n FROM e2), p AS (SELECT *, dense_rank() OVER (ORDER BY day) - 1 AS pd FROM e2), b AS (SELECT i AS block, i * (n // 2) + least(i, n % 2) AS a, (i + 1) * (n // 2) + least(i + 1, n % 2) AS z FROM range(2) r(i), n) SELECT block, day, event_type, round(v, 3) AS v, n FROM p JOIN b ON pd >= a - 1 AND pd < z + 1")
+def halo_group(spark: SparkSession, d: str) -> DataFrame:
+    """Two fields in one exchange."""
+    a, b = e2(spark, d), e2(spark, d, variables=("n",))
+    keys = ["__pos_day", "day", "__pos_event_type", "event_type"]
+    return halos.update_group([a.frame(), b.frame()], keys, "day", a.sizes["day"], 2, 1, 1).select("block", "day", "event_type", F.round("v", 3).alias("v"), "n")
+
+
+@query(f"WITH {E2_SQL} SELECT round(sum(v), 4) AS v FROM e2")
+def global_sum_exact(spark: SparkSession, d: str) -> DataFrame:
+    return out(e2(spark, d).exact_sum())
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily event cube, three-day centred mean per type."""
     return rolling_mean_centered(spark, sf_dir)

@@ -14,10 +14,20 @@ from ..plans.windows import Layout, along, pos, scan, stencil
 from ..schema import Group
 from .reductions import OWN, aggregate, skips
 
-ROLLING = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "var": F.var_pop, "median": F.median, "prod": F.product, "first": lambda c: F.first(c, True), "last": lambda c: F.last(c, True)}
+ROLLING = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "var": F.var_pop, "prod": F.product, "first": lambda c: F.first(c, True), "last": lambda c: F.last(c, True)}
 Sizes = dict[str, int]
 
 
+def _middle(c: Column, of: Callable[[Column], Column]) -> Column:
+    """The median of a frame, whose length the window bounds: Spark's own takes no frame."""
+    values = F.array_sort(of(F.collect_list(c)))
+    n = F.size(values)
+    return (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+
+
+OWN.setdefault("median", _middle)
+
+
 def _renamed(group: Group, df: DataFrame, made: list[str], kinds: dict[str, str]) -> Group:
     """Columns __new_<n> of df take the names n."""
     out = df.select(*group.keys(), *(F.col(f"__new_{n}").alias(n) for n in made))
@@ -283,35 +293,51 @@ def _spline(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int) -> np.ndar
     return out
 
 
+#: Cells of a spline's block, and of what a block sees beyond its ends: a cell's pull on a spline falls by two thirds or more with each cell in between.
+SPLINE_BLOCK, SPLINE_REACH = 1024, 64
+
+
+def _splines(group: Group, dim: str, targets: DataFrame, n_targets: int, degree: int, sizes: Sizes, layout: Layout) -> Group:
+    """Splines through overlapping blocks of cells; each block gives the values at the targets that lie in it. A missing cell makes its block's values missing."""
+    import pandas as pd
+
+    frame, names, others, at = group.frame(), list(group.exprs), group.keys(dim), F.col(pos(dim))
+    last = max(0, (sizes[dim] - 1) // SPLINE_BLOCK)
+    if last and (sizes[dim] - last * SPLINE_BLOCK) <= SPLINE_REACH:
+        last -= 1
+    block = lambda p: F.least(F.greatest(F.floor(p / SPLINE_BLOCK), F.lit(0)), F.lit(last))
+    source = frame.withColumn("__b", F.explode(F.sequence(block(at - SPLINE_REACH), block(at + SPLINE_REACH)))).drop(*(d for d in group.dims if d != dim))
+    known = frame.select(F.col(dim).alias("label"), at.alias("old")).distinct()
+    near = neighbours(known, targets.select(F.col(dim).cast(dict(frame.dtypes)[dim] if not dict(frame.dtypes)[dim].endswith("int") else "double").alias("label"), at.alias("new")), sizes[dim] + n_targets, layout.block)
+    asked = near.select(F.col("new").alias("__t"), F.col("label").alias("__x"), F.coalesce(block(F.col("lo.old")), F.lit(0)).alias("__b"))
+    asked = asked.crossJoin(F.broadcast(frame.select(*others).distinct())) if others else asked
+    series = [pos(d) for d in group.dims if d != dim]
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in frame.select(*others).dtypes), f"`{pos(dim)}` long", f"`{dim}` double", *(f"`{n}` double" for n in names)])
+
+    def solve(cells: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        cells, t = cells.sort_values(pos(dim)), wanted["__x"].to_numpy(float)
+        out = pd.DataFrame({c: wanted[c] for c in others} | {pos(dim): wanted["__t"], dim: t})
+        for n in names:
+            y, x = cells[n].to_numpy(float), cells[dim].to_numpy(float)
+            out[n] = _spline(x, y, t, degree) if not np.isnan(y).any() else np.nan
+        return out
+
+    df = source.groupBy(*series, "__b").cogroup(asked.groupBy(*series, "__b")).applyInPandas(solve, schema)
+    df = df.withColumns({n: no_nan(F.col(n)) for n in names})
+    return Group(group.dims, df.select(*group.keys(), *names), {n: F.col(n) for n in names}, dict.fromkeys(names, "float"))
+
+
 def interp(group: Group, dim: str, targets: DataFrame, n_targets: int, method: str, sizes: Sizes, layout: Layout) -> Group:
     """Values at new labels (targets: position, label); missing outside the source's range.
 
     linear and nearest bracket each target between its neighbours on the
-    coordinate alone and then join the two rows; quadratic and cubic solve one
-    spline per series.
+    coordinate alone and then join the two rows; quadratic and cubic solve
+    splines over blocks of cells.
     """
     frame, names = group.frame(), list(group.exprs)
     others = group.keys(dim)
     if method in ("quadratic", "cubic"):
-        import pandas as pd
-
-        wanted = targets.orderBy(pos(dim)).toPandas()
-        t, degree = wanted[dim].to_numpy(float), 2 if method == "quadratic" else 3
-        types = dict(frame.dtypes)
-        schema = ", ".join([*(f"`{c}` {types[c]}" for c in others), f"`{pos(dim)}` long", f"`{dim}` double", *(f"`{n}` double" for n in names)])
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(dim)
-            out = pd.DataFrame({c: [pdf[c].iloc[0]] * len(t) for c in others} | {pos(dim): np.arange(len(t)), dim: t})
-            for n in names:
-                y, x = pdf[n].to_numpy(float), pdf[dim].to_numpy(float)
-                out[n] = _spline(x, y, t, degree) if not np.isnan(y).any() else np.nan
-            return out
-
-        keys = [pos(d) for d in group.dims if d != dim] or [F.lit(0)]
-        df = frame.groupBy(*keys).applyInPandas(solve, schema)
-        df = df.withColumns({n: no_nan(F.col(n)) for n in names})
-        return Group(group.dims, df.select(*group.keys(), *names), {n: F.col(n) for n in names}, dict.fromkeys(names, "float"))
+        return _splines(group, dim, targets, n_targets, 2 if method == "quadratic" else 3, sizes, layout)
     if method not in ("linear", "slinear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
     source = frame.select(F.col(dim).alias("label"), F.col(pos(dim)).alias("old")).distinct()
