@@ -294,7 +294,7 @@ def _spline(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int) -> np.ndar
 
 
 #: Cells of a spline's block, and of what a block sees beyond its ends: a cell's pull on a spline falls by two thirds or more with each cell in between.
-SPLINE_BLOCK, SPLINE_REACH = 1024, 64
+SPLINE_BLOCK, SPLINE_REACH = 256, 48
 
 
 def _splines(group: Group, dim: str, targets: DataFrame, n_targets: int, degree: int, sizes: Sizes, layout: Layout) -> Group:

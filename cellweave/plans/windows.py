@@ -22,7 +22,7 @@ BLOCK = "__blk"
 class Layout:
     """When to cut a dimension: blocks of `block` rows where other dims give fewer than `groups` partitions."""
 
-    block: int = 65_536
+    block: int = 262_144
     groups: int = 64
 
 

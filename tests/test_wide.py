@@ -45,7 +45,7 @@ def test_neighbours_in_ranges(spark, block):
 def test_half_a_million_rows(spark):
     """No step is quadratic: in ranges of the default length these end within seconds."""
     n = 500_000
-    x = from_numpy(spark, np.arange(n) % 1013.0, ["t"], layout=Layout(groups=4))
+    x = from_numpy(spark, np.arange(n) % 1013.0, ["t"], layout=Layout(block=65_536, groups=4))
     holes = x.where(x > 900.0)
     assert holes.bfill("t").count("t").to_numpy() == max(i for i in range(n - 2000, n) if i % 1013 > 900) + 1
     assert x.reindex(t=spark.range(0, n, 5).select(F.col("id").alias("t")), method="nearest").count("t").to_numpy() == n / 5
