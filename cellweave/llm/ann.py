@@ -2,13 +2,18 @@
 
 Vectors are normalised and cut into two halves, each quantised by a codebook of
 its own (k-means on a bounded sample). A cell is a pair of centroids. For a
-query, a heap yields cells by rising sum of the two squared distances until the
-cells seen hold the wanted share of all vectors; the entries of these cells are
-reranked by exact cosine in double precision.
+query, a heap yields pairs by rising sum of the two squared distances, in runs of
+second centroids that are neighbours by distance, until the pairs seen hold the
+wanted share of all vectors; the entries of these cells are reranked by exact
+cosine in double precision. The share is not fixed: it is the least that finds
+`target` of the true neighbours of a bounded sample of vectors among that sample.
+Clustered vectors need few cells; of vectors spread evenly in all directions,
+which no index tells apart, it is larger.
 
 Entries lie in blocks of bounded size, made of whole small cells or of slices of
 large ones; queries come in chunks of bounded size. A task holds one block and
-one chunk at a time.
+one chunk at a time. A query goes to the blocks that hold a cell it visits, with
+nothing but its vector and the largest sum that it visits.
 """
 
 from __future__ import annotations
@@ -19,22 +24,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, one_thread
+from .common import Scratch, batches, one_thread
 
 
 @dataclass(frozen=True)
 class Config:
-    centroids: int = 64
-    #: Codebooks are fitted to at most about this many vectors, by hash of vec_id.
+    #: Of each half; of a small table at most one for each 8 sampled vectors.
+    centroids: int = 256
+    #: Codebooks and the share are fitted to at most about this many vectors, by hash of vec_id ...
     sample: int = 20_000
-    #: Cells are visited until they hold this share of all vectors (at least min_entries).
-    share: float = 0.5
-    min_entries: int = 2_000
-    block_rows: int = 4_096
-    chunk_queries: int = 2_048
+    #: ... the share with this many of them as queries, so that this part of their neighbours is found.
+    sample_queries: int = 256
+    target: float = 0.95
+    #: Second centroids that leave the heap together.
+    run: int = 8
+    block_rows: int = 16_384
+    chunk_queries: int = 16_384
     rounds: int = 15
     seed: int = 8
 
@@ -43,6 +51,12 @@ class Config:
 class Index:
     half: int
     books: tuple[np.ndarray, np.ndarray]
+    run: int = 8
+    share: float = 1.0
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.books[0]), len(self.books[1])
 
     def distances(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of normalised vectors' halves to the centroids, less the vectors' own norms."""
@@ -52,21 +66,51 @@ class Index:
         a, b = self.distances(v)
         return a.argmin(1) * len(self.books[1]) + b.argmin(1)
 
-    def nearest_cells(self, a: np.ndarray, b: np.ndarray) -> Iterator[int]:
-        """All cells by rising a[i] + b[j]: from a heap in which (i, j) enters once both its neighbours towards the origin have left."""
+    def floors(self, b: np.ndarray) -> np.ndarray:
+        """For each second centroid the least distance in its run: runs are cut from the centroids by rising distance."""
+        order = np.argsort(b, kind="stable")
+        out = np.empty_like(b)
+        out[order] = b[order][np.arange(len(b)) // self.run * self.run]
+        return out
+
+    def runs(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[float, int, np.ndarray]]:
+        """All pairs by rising sum: (sum, first centroid, second centroids of a run), from a heap.
+
+        (i, j) enters the heap once both its neighbours towards the origin have
+        left: i counts first centroids by rising distance, j runs of second ones.
+        """
         oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-        sa, sb = a[oa].tolist(), b[ob].tolist()
+        groups = [ob[k : k + self.run] for k in range(0, len(ob), self.run)]
+        sa, sb = a[oa].tolist(), [float(b[g[0]]) for g in groups]
         n, m = len(sa), len(sb)
-        heap, left = [(sa[0] + sb[0], 0, 0)], [0] * n  # left[i]: how many of row i have left
+        heap, left = [(sa[0] + sb[0], 0, 0)], [0] * n  # left[i]: how many runs of row i have left
         while heap:
-            _, i, j = heapq.heappop(heap)
+            total, i, j = heapq.heappop(heap)
             left[i] = j + 1
-            yield int(oa[i]) * m + int(ob[j])
+            yield total, int(oa[i]), groups[j]
             if i + 1 < n and left[i + 1] == j:
                 heapq.heappush(heap, (sa[i + 1] + sb[j], i + 1, j))
             if j + 1 < m and (i == 0 or left[i - 1] > j + 1):
                 heapq.heappush(heap, (sa[i] + sb[j + 1], i, j + 1))
 
+    def reach(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, wanted: float) -> float:
+        """The sum at which the runs seen hold `wanted` entries; counts: entries of each cell, as a table."""
+        order = np.argsort(b, kind="stable")
+        padded = np.zeros((len(a), -(-len(b) // self.run) * self.run), counts.dtype)
+        padded[:, : len(b)] = counts[:, order]
+        held = padded.reshape(len(a), -1, self.run).sum(axis=2).tolist()
+        at, seen, last = {int(c): k // self.run for k, c in enumerate(order)}, 0, -np.inf
+        for total, first, second in self.runs(a, b):
+            last = total
+            seen += held[first][at[int(second[0])]]
+            if seen >= wanted:
+                break
+        return last
+
+    def visited(self, a: np.ndarray, b: np.ndarray, reach: float, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Which of the cells (first, second) a query with these distances visits."""
+        return a[first] + self.floors(b)[second] <= reach
+
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     if not x.shape[1]:
@@ -98,13 +142,35 @@ def usable(vector: str) -> Column:
 
 
 def fit(vectors: DataFrame, n: int, config: Config) -> Index:
-    """Codebooks from a sample of the usable vectors, of which there are n."""
+    """Codebooks and share from a sample of the usable vectors, of which there are about n."""
     draw = F.pmod(F.xxhash64(F.lit(config.seed), "vec_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = vectors.where(draw < config.sample / max(n, 1)).select("vec_id", "v").orderBy(draw, "vec_id").limit(2 * config.sample).collect() or vectors.select("vec_id", "v").orderBy("vec_id").limit(config.sample).collect()
     x = _unit(np.array([r["v"] for r in rows], float))
     half = max(1, x.shape[1] // 2)
     rng = np.random.default_rng(config.seed)
-    return Index(half, (_kmeans(x[:, :half], config.centroids, config.rounds, rng), _kmeans(x[:, half:], config.centroids, config.rounds, rng)))
+    # the share is fitted to vectors that the codebooks haven't seen, unless they see all that there are
+    learn, hold = (x, x) if n <= config.sample else (x[::2], x[1::2])
+    k = max(1, min(config.centroids, len(learn) // 8))
+    index = Index(half, (_kmeans(learn[:, :half], k, config.rounds, rng), _kmeans(learn[:, half:], k, config.rounds, rng)), config.run)
+    index.share = _least_share(index, hold, config)
+    return index
+
+
+def _least_share(index: Index, x: np.ndarray, config: Config, k: int = 5) -> float:
+    """The least share of x, by order of visit, that holds the target part of the k nearest of some of x."""
+    if len(x) <= k + 1:
+        return 1.0
+    cell = index.cells(x)
+    first, second = np.divmod(cell, len(index.books[1]))
+    shares = []
+    for q in range(0, len(x), max(1, len(x) // config.sample_queries)):
+        near = x @ x[q]
+        near[q] = -np.inf
+        true = np.argpartition(-near, k)[:k]
+        a, b = index.distances(x[q : q + 1])
+        sums = a[0][first] + index.floors(b[0])[second]
+        shares += [float((sums <= sums[t]).mean()) for t in true]
+    return float(np.quantile(shares, config.target, method="higher"))
 
 
 def _best(ids: np.ndarray, v: np.ndarray, norms: np.ndarray, qid: int, q: np.ndarray, k: int) -> list[tuple[int, float]]:
@@ -142,7 +208,8 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, config: Config =
     dim = max(sizes, key=lambda r: (r["count"], -r["d"]))["d"]
     good = good.where(F.size("v") == dim).dropDuplicates(["vec_id"])
     index = fit(good, max(r["count"] for r in sizes), config)
-    width = len(index.books[1])
+    n_first, width = index.shape
+    keep = Scratch(spark)
 
     def place(reader) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -152,46 +219,49 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, config: Config =
                 yield pa.record_batch([*batch.columns, pa.array(index.cells(x).astype(np.int32))], names=["vec_id", "v", "query", "cell"])
 
     kind = good.schema["v"].dataType.simpleString()
-    placed = cut(good.mapInArrow(place, f"vec_id long, v {kind}, query boolean, cell int"), "cells")
+    placed = keep.cut(good.mapInArrow(place, f"vec_id long, v {kind}, query boolean, cell int"), "cells")
     # at most centroids ** 2 rows
-    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
-    total, n_queries = sum(counts.values()), placed.where("query").count()
-    first, slices, at, filled = {}, {}, 0, 0
-    for cell in sorted(counts):
-        n = counts[cell]
+    told = placed.groupBy("cell").count().collect()
+    counts = np.zeros(n_first * width, np.int64)
+    counts[[r["cell"] for r in told]] = [r["count"] for r in told]
+    n_queries = placed.where("query").count()
+    first, slices, at, filled = np.full(n_first * width, -1), np.zeros(n_first * width, np.int64), 0, 0
+    for cell in np.flatnonzero(counts).tolist():
+        n = int(counts[cell])
         if filled and filled + n > config.block_rows:
             at, filled = at + 1, 0
         first[cell], slices[cell] = at, max(1, -(-n // config.block_rows))
         filled += n
         if slices[cell] > 1:
-            at, filled = at + slices[cell], 0
+            at, filled = at + int(slices[cell]), 0
     chunks = max(1, -(-n_queries // config.chunk_queries))
-    layout = spark.createDataFrame([(c, first[c], slices[c]) for c in sorted(counts)], "cell int, first int, slices int")
+    layout = spark.createDataFrame([(int(c), int(first[c]), int(slices[c])) for c in np.flatnonzero(counts)], "cell int, first int, slices int")
     entries = placed.join(F.broadcast(layout), "cell").select(
         (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int")).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "v", "cell")
-    wanted = max(config.min_entries, int(np.ceil(config.share * total)))
+    # the query itself is an entry, too
+    wanted = index.share * counts.sum() + 1
+    filled_cells = np.flatnonzero(counts)
 
     def visit(reader) -> Iterator[pa.RecordBatch]:
         one_thread()
+        table, (own_first, own_second) = counts.reshape(n_first, width), np.divmod(filled_cells, width)
         for batch in batches(reader, 64):
             if not batch.num_rows:
                 continue
             a, b = index.distances(_unit(_matrix(batch.column("v"))))
-            rows: list[tuple[int, int, list[int]]] = []
+            rows, blocks, reaches = [], [], []
             for r in range(batch.num_rows):
-                seen, by_block = 0, {}
-                for cell in index.nearest_cells(a[r], b[r]):
-                    if n := counts.get(cell):
-                        for s in range(slices[cell]):
-                            by_block.setdefault(first[cell] + s, []).append(cell)
-                        seen += n
-                        if seen >= wanted:
-                            break
-                rows += [(r, block, cells) for block, cells in by_block.items()]
-            take = pa.array([r for r, _, _ in rows])
-            yield pa.record_batch([pa.array([b for _, b, _ in rows], pa.int32()), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array([c for _, _, c in rows], pa.list_(pa.int32()))], names=["block", "query_id", "q", "cells"])
-
-    asked = placed.where("query").select("vec_id", "v").mapInArrow(visit, f"block int, query_id long, q {kind}, cells array<int>")
+                reach = index.reach(a[r], b[r], table, wanted)
+                cells = filled_cells[index.visited(a[r], b[r], reach, own_first, own_second)]
+                more = slices[cells].max(initial=1)
+                found = np.unique(np.concatenate([first[cells] + np.minimum(s, slices[cells] - 1) for s in range(more)]))
+                rows += [r] * len(found)
+                blocks.append(found)
+                reaches += [reach] * len(found)
+            take = pa.array(rows, pa.int64())
+            yield pa.record_batch([pa.array(np.concatenate(blocks).astype(np.int32)), batch.column("vec_id").take(take), batch.column("v").take(take), pa.array(reaches, pa.float64())], names=["block", "query_id", "q", "reach"])
+
+    asked = placed.where("query").select("vec_id", "v").mapInArrow(visit, f"block int, query_id long, q {kind}, reach double")
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(chunks)).cast("int"))
 
     def rerank(block: pa.Table, queries: pa.Table) -> pa.Table:
@@ -200,19 +270,19 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, config: Config =
         if block.num_rows and queries.num_rows:
             ids, v, cell = block.column("vec_id").to_numpy(), _matrix(block.column("v").combine_chunks()), block.column("cell").to_numpy()
             order = np.lexsort((ids, cell))
-            ids, v, cell = ids[order], v[order], cell[order]
+            ids, v = ids[order], v[order]
             norms = np.sqrt(np.add.reduce(v * v, axis=1))
+            there, at = np.unique(cell[order], return_inverse=True)
+            own_first, own_second = np.divmod(there, width)
             q = _matrix(queries.column("q").combine_chunks())
-            visited = np.zeros(width * len(index.books[0]), bool)
-            for qid, x, cells in zip(queries.column("query_id").to_pylist(), q, queries.column("cells").to_pylist(), strict=True):
-                visited[:] = False
-                visited[cells] = True
-                mine = visited[cell]
-                out += [(qid, i, s) for i, s in _best(ids[mine], v[mine], norms[mine], qid, x, k)]
+            for k0 in range(0, len(q), 64):
+                # the last digits of a sum may depend on the batch it is computed in
+                a, b = index.distances(_unit(q[k0 : k0 + 64]))
+                for r, (qid, reach) in enumerate(zip(queries.column("query_id")[k0 : k0 + 64].to_pylist(), queries.column("reach")[k0 : k0 + 64].to_pylist(), strict=True)):
+                    mine = index.visited(a[r], b[r], reach + 1e-9, own_first, own_second)[at]
+                    out += [(qid, i, s) for i, s in _best(ids[mine], v[mine], norms[mine], qid, q[k0 + r], k)]
         return pa.table([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
     found = entries.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(rerank, "query_id long, vec_id long, score double")
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -3,6 +3,7 @@
 import heapq
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cellweave.llm import ann
@@ -18,14 +19,24 @@ def nearest(vectors, q, k=5):
     return [(i, -x) for x, i in s[:k]]
 
 
-def test_cells_rise_by_summed_distance():
+def test_pairs_rise_by_summed_distance():
     r = np.random.default_rng(0)
-    index = ann.Index(2, (r.normal(size=(7, 2)), r.normal(size=(5, 2))))
+    index = ann.Index(2, (r.normal(size=(7, 2)), r.normal(size=(5, 2))), run=1)
     a, b = r.random(7).round(1), r.random(5).round(1)
-    got = list(index.nearest_cells(a, b))
-    assert sorted(got) == list(range(35))
-    d = [a[c // 5] + b[c % 5] for c in got]
+    got = [(i, int(j)) for _, i, js in index.runs(a, b) for j in js]
+    assert sorted(got) == [(i, j) for i in range(7) for j in range(5)]
+    d = [a[i] + b[j] for i, j in got]
     assert d == sorted(d) and d[0] == heapq.nsmallest(1, [x + y for x in a for y in b])[0]
+    index.run = 2
+    sums = [(t, i, len(js)) for t, i, js in index.runs(a, b)]
+    assert [t for t, _, _ in sums] == sorted(t for t, _, _ in sums) and sum(n for _, _, n in sums) == 35
+    counts = r.integers(0, 4, (7, 5))
+    first, second = (x.ravel() for x in np.indices((7, 5)))
+    for wanted in (1, 10, 30, 10**6):
+        reach = index.reach(a, b, counts, wanted)
+        seen = counts.ravel()[index.visited(a, b, reach, first, second)].sum()
+        less = counts.ravel()[index.visited(a, b, reach - 0.01, first, second)].sum()
+        assert seen >= min(wanted, counts.sum()) and less < wanted
 
 
 def test_search(spark):
@@ -35,7 +46,7 @@ def test_search(spark):
     odd = [(2000, None), (2050, np.zeros(16)), (2100, [None] + [1.0] * 15), (2150, [float("nan")] + [1.0] * 15), (2200, [float("inf")] + [1.0] * 15), (2250, [1.0, 2.0]), (None, np.ones(16))]
     df = table(spark, good + odd)
     df = df.unionByName(df.where("vec_id IN (3, 50)"))
-    config = ann.Config(block_rows=100, chunk_queries=7, min_entries=300, centroids=8)
+    config = ann.Config(block_rows=100, chunk_queries=7, centroids=8)
     got = ann.search(df, F.col("vec_id") % 50 == 0, config=config).orderBy("query_id", "rank").collect()
     by = {}
     for x in got:
@@ -50,13 +61,39 @@ def test_search(spark):
         total += 5
     assert hits / total >= 0.9
     assert [x["vec_id"] for x in by[950]] == [900, 901, 902, 903, 904]
-    whole = ann.search(df, F.col("vec_id") % 50 == 0, config=ann.Config(share=1.0, block_rows=64)).collect()
+    whole = ann.search(df, F.col("vec_id") % 50 == 0, config=ann.Config(target=1.0, sample_queries=10**6, block_rows=64)).collect()
     exact = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in whole}
     for q in by:
         for k, (i, s) in enumerate(nearest(good, q), 1):
             assert abs(exact[q, k][1] - s) < 1e-9 and (exact[q, k][0] == i or abs(exact[q, k][1] - s) < 1e-12)
 
 
+@pytest.mark.parametrize("data", ["/root/testdata/sf0.1", "clusters"])
+def test_recall(spark, data):
+    """Against brute force: on the given vectors, which lie in all directions, and on clustered ones, with the share that is visited."""
+    r = np.random.default_rng(3)
+    if data == "clusters":
+        middle = r.normal(size=(60, 32))
+        v = (middle[r.integers(0, 60, 6000)] + 0.25 * r.normal(size=(6000, 32))).astype(np.float32)
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    else:
+        df = spark.read.parquet(f"{data}/embeddings.parquet")
+        v = np.array([x["embedding"] for x in df.orderBy("vec_id").collect()], np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    got = {}
+    for x in ann.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    assert set(got) == set(range(0, len(v), 50)) and all(len(x) == 5 for x in got.values())
+    hits = 0
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(found & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    share = ann.fit(df.select("vec_id", F.col("embedding").alias("v")), len(v), ann.Config()).share
+    assert hits / (5 * len(got)) >= 0.9
+    assert share < (0.1 if data == "clusters" else 0.4)
+
+
 def test_search_small(spark):
     few = table(spark, [(0, [1, 0]), (1, [1, 1]), (2, [0, 1])])
     got = [tuple(x)[:3] for x in ann.search(few, F.col("vec_id") == 0).orderBy("rank").collect()]
