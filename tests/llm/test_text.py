@@ -343,8 +343,65 @@ def test_html_odd_input(bad):
     assert html.extract_text("plain text &amp more") == "plain text & more"
 
 
+def test_html_given_pages():
+    """Every given page against its article, read off by hand-written patterns."""
+    import html as decoder
+    import re
+
+    import pandas as pd
+
+    for page in pd.read_parquet("/root/testdata/sf0.1/pages.parquet").html:
+        inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+        parts = re.split(r"<h1>|</h1>|<p>|</p>|<ul>|</ul>|<li>|</li>", inner)
+        want = [" ".join(decoder.unescape(re.sub(r"<br>", " ", re.sub(r"</?(?:b|a|i|em)(?: [^>]*)?>", "", x))).split()) for x in parts]
+        assert html.extract_text(page) == "\n\n".join(x for x in want if x)
+
+
+def test_html_attributes():
+    body = "<p>First, with commas, and words enough to be a paragraph of text.</p><p>Second, with commas, and more words than it needs.</p>"
+    want = "First, with commas, and words enough to be a paragraph of text.\n\nSecond, with commas, and more words than it needs."
+    for tag in ("div title=it's", 'div title="a > b"', "div title='say \"x\"'", "div data-x=a'b class=c", 'div "', "div '", 'div title="never closed', "div title='never closed", "div a=b/c/", "div\n\tclass = 'x'\n", "div =x", "div x==y", 'div title=""x'):
+        assert html.extract_text(f"<html><body><{tag}>{body}</div></body></html>") == want, tag
+
+
+def test_html_keeps_what_an_article_says():
+    """Names like those of boilerplate, and lists of links, within an article; and boxes that go."""
+    page = """<body><header><h1>Site</h1></header><article><div class="header"><h1>The title</h1></div><p>An opening, with commas, and words enough to be a paragraph.</p>
+    <div id=related-work><h2>Related work</h2><p>Others, before us, did this.</p></div><p class="tags-explained">Tags, explained, at some length.</p>
+    <ul><li><a href=a>First source</a><li><a href=b>Second source</a></ul>
+    <div class="related-posts"><p>Read this next, or else, something.</p></div><div class="ad-slot-3">Buy now</div><div id=comments><article class=comment><p>Nice post, thanks, a lot, really.</p></article></div>
+    <p>The end, of the text, is here.</p><footer>Filed under</footer></article><div class=sidebar>More</div></body>"""
+    assert html.extract_text(page).split("\n\n") == [
+        "The title", "An opening, with commas, and words enough to be a paragraph.", "Related work", "Others, before us, did this.", "Tags, explained, at some length.",
+        "First source", "Second source", "The end, of the text, is here.",
+    ]
+    plain = '<body><div id=nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></div><div class=widget-content><h1>Title</h1><p>All of the text, with commas, in a box with an odd name.</p></div></body>'
+    assert "All of the text, with commas, in a box with an odd name." in html.extract_text(plain) and "News" not in html.extract_text(plain)
+
+
+def test_html_is_linear():
+    import time
+
+    text = "<p>Some text, with commas, for a paragraph of the page, to be found.</p>"
+    for page in ("<div>" * 100_000 + text, "<b>" * 50_000 + "</i>" * 50_000 + text, "<ul><li>" * 40_000 + text, ("<table><tr><td>" * 20_000) + text, "<a href=x>" * 50_000 + text, "<p><b>" * 50_000 + text, '<a x="' * 30_000 + text, "<" * 200_000 + text, "<div " + "a=b " * 100_000 + ">" + text, "<script>" * 30_000 + text):
+        began = time.perf_counter()
+        assert isinstance(html.extract_text(page), str)
+        assert time.perf_counter() - began < 2.5, page[:20]
+
+
+def test_html_no_page_is_lost():
+    """A paragraph stays whatever stray tags, quotes and brackets stand before it."""
+    r = random.Random(4)
+    bits = ["<b>", "</b>", "<i x='", "'", '"', " > ", "</div>", "<div>", "</p>", "<p>", "<br/>", "<a href=it's>", "</a>", "&amp;", "<", "</", "<span title=\"q\">", "text, text", "<li>", "</ul>", "<td>", "<h2>x</h2>"]
+    for _ in range(400):
+        page = "<html><body><div>" + "".join(r.choice(bits) for _ in range(r.randrange(12))) + "'\">" + "<p>Words that stay, with commas, in every page, however broken, and long enough to count for main text.</p></div></body></html>"
+        assert "Words that stay, with commas, in every page" in html.extract_text(page), page
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a, b</p>", "clash"), (1, "u", "<p>a, b</p>", "clash"), (2, None, None, None), (3, "v", "", "")], "page_id long, url string, html string, main_text string")
     got = sorted((x["page_id"], x["main_text"]) for x in html.extract(pages).collect())
     assert got == [(1, "a, b"), (1, "a, b"), (2, ""), (3, "")]
     assert html.extract(pages.limit(0)).count() == 0
+    own = html.extract(pages.withColumn("__page", F.lit(7)), into="html")
+    assert sorted(x["html"] for x in own.collect()) == ["", "", "a, b", "a, b"] and "__page" in own.columns
