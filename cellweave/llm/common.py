@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import Scratch, cut, remove, shared_path, shared_root
 
-__all__ = ["Scratch", "ascii_lower", "batches", "cut", "few", "one_thread", "only", "remove", "shared_path", "shared_root", "table", "words_of"]
+__all__ = ["Scratch", "ascii_lower", "batches", "cut", "few", "one_thread", "only", "remove", "shared_path", "shared_root", "table", "unused", "words_of"]
 
 #: The bytes that separate words, and that are stripped around lines.
 SPACE = " \t\n\x0b\x0c\r"
@@ -48,6 +48,14 @@ _RARE = "\x1c\x1d\x1e\x1f\x85\xa0               
 _TO_SPACE = {ord(c): " " for c in SPACE}
 
 
+def unused(names: list[str], base: str = "__text") -> str:
+    """A column name that is none of these, in whatever case."""
+    low = {n.lower() for n in names}
+    while base.lower() in low:
+        base += "_"
+    return base
+
+
 def few(df: DataFrame, most: int) -> bool:
     """Whether df has at most `most` rows; reads no further than that."""
     return df.limit(most + 1).count() <= most

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, one_thread
+from .common import batches, one_thread, unused
 
 UNDETERMINED = "und"
 WIDTHS = (2, 3, 4)
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Dat
         one_thread()
         model = Predictor(net)
         for batch in batches(reader, 128):
-            langs, scores = model.texts(batch.column("__text").to_pylist())
+            langs, scores = model.texts(batch.column(len(keep)).to_pylist())
             yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "lang_score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(unused(keep))).mapInArrow(run, schema)

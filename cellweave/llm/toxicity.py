@@ -1,13 +1,15 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Words get log-odds of toxic against other labelled texts under an informative
-Dirichlet prior, whose pseudo-counts follow each word's document frequency in
-the whole corpus. Words significantly on the toxic side form the lexicon; every
-other word has the same small negative score. One linear scan finds all maximal
-scoring segments of a text. A segment's score S becomes an expected number of
-such segments in a clean text of n words, K n exp(-lambda S), where lambda
-solves sum p exp(lambda s) = 1 for the scores of clean text. The evidence of a
-text's significant segments is turned into a probability by a logistic curve.
+Dirichlet prior, whose pseudo-counts follow each word's frequency in the whole
+corpus. A text counts a word once, so that one text that repeats a word doesn't
+make it telling. A word's log-odds, 0 where they lie within `least_z` standard
+errors of that, less a constant, which makes a clean text drift down, are its score. One linear scan finds all maximal scoring segments of a
+text. A segment's score S becomes an expected number of such segments in a clean
+text of n words, K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 for the
+words of clean text, K is the maximum-likelihood estimate from the best segments
+of the clean labelled texts. The evidence of a text's significant segments is
+turned into a probability by a logistic curve.
 """
 
 from __future__ import annotations
@@ -16,13 +18,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut
+from .common import batches, cut, unused
 
 WORD = re.compile(r"\w+")
 
@@ -33,20 +36,35 @@ class Config:
     rows_per_class: int = 10_000
     #: Words in fewer toxic texts than this aren't learned.
     least_texts: int = 2
-    #: Standard errors by which a word's log-odds must exceed zero.
-    least_z: float = 2.0
+    #: Standard errors within which a word's log-odds say nothing.
+    least_z: float = 3.0
+    #: What each word's score lies below its log-odds.
+    drift: float = 0.5
+    #: Pseudo-counts of the prior, for each word that a class has.
+    prior: float = 0.1
     seed: int = 6
 
 
 @dataclass
 class Model:
-    lexicon: dict[str, float] = field(default_factory=dict)
-    penalty: float = 0.05
+    #: Log-odds of words; all others' are 0.
+    odds: dict[str, float] = field(default_factory=dict)
+    #: What each word's score lies below its log-odds.
+    penalty: float = 0.5
     rate: float = 1.0  # lambda
     scale: float = 0.1  # K
     intercept: float = -30.0
     slope: float = 0.0
 
+    @cached_property
+    def scores(self) -> dict[str, float]:
+        return {w: x - self.penalty for w, x in self.odds.items()}
+
+    @cached_property
+    def lexicon(self) -> frozenset[str]:
+        """Words with a positive score."""
+        return frozenset(w for w, x in self.scores.items() if x > 0)
+
     def evidence(self, segments: list[tuple[int, int, float]], n_words: int) -> float:
         """Sum over segments of the excess of lambda S over ln(K n)."""
         if not segments:
@@ -62,19 +80,18 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def maximal_segments(hits: list[tuple[int, float]], penalty: float) -> list[tuple[int, int, float]]:
+def maximal_segments(hits: list[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), end exclusive, in linear time.
 
-    hits: positions and scores of the words with positive score, ascending;
-    every word between them scores -penalty.
+    hits: (position, score, fall) of the words with positive score, ascending; fall
+    is the sum of what the words since the last of them lose.
     """
     found: list[tuple[float, float, int, int]] = []  # sum before, sum after, start, end
-    total, last = 0.0, -1
+    total = 0.0
     # link[i]: the nearest earlier candidate whose left sum is smaller, or -1
     link: list[int] = []
-    for at, score in hits:
-        total -= penalty * (at - last - 1)
-        last = at
+    for at, score, fall in hits:
+        total -= fall
         left, right, start, end = total, total + score, at, at + 1
         total = right
         j = len(found) - 1
@@ -92,14 +109,21 @@ def maximal_segments(hits: list[tuple[int, float]], penalty: float) -> list[tupl
 
 
 def segments_of(words: list[str], model: Model) -> list[tuple[int, int, float]]:
-    if not model.lexicon or model.lexicon.keys().isdisjoint(words):
+    if model.lexicon.isdisjoint(words):
         return []
-    get = model.lexicon.get
-    return maximal_segments([(i, s) for i, w in enumerate(words) if (s := get(w)) is not None], model.penalty)
+    get, low, fall, hits = model.scores.get, -model.penalty, 0.0, []
+    for i, w in enumerate(words):
+        s = get(w, low)
+        if s > 0:
+            hits.append((i, s, fall))
+            fall = 0.0
+        else:
+            fall -= s
+    return maximal_segments(hits)
 
 
-def _count(texts: DataFrame, columns: list[str], vocabulary: frozenset[str] | None) -> DataFrame:
-    """(word, n_<c>): the number of texts with the word where column c holds; combined in each task first."""
+def _count(texts: DataFrame, columns: list[str], vocabulary: frozenset[str] | None, every: str = "") -> DataFrame:
+    """(word, n_<c>): the number of texts with the word where column c holds, for column `every` that of its places; combined in each task first."""
 
     def run(reader) -> Iterator[pa.RecordBatch]:
         counts = [Counter() for _ in columns]
@@ -116,9 +140,9 @@ def _count(texts: DataFrame, columns: list[str], vocabulary: frozenset[str] | No
             for i, text in enumerate(batch.column(0).to_pylist()):
                 words = tokens(text)
                 own = set(words) if vocabulary is None else vocabulary.intersection(words)
-                for c, f in zip(counts, flags, strict=True):
+                for c, f, name in zip(counts, flags, columns, strict=True):
                     if f[i]:
-                        c.update(own)
+                        c.update(words if name == every else own)
             if sum(map(len, counts)) > 200_000:
                 yield out()
         if any(counts):
@@ -129,8 +153,8 @@ def _count(texts: DataFrame, columns: list[str], vocabulary: frozenset[str] | No
 
 
 def _positive_root(scores: np.ndarray, rates: np.ndarray, penalty: float) -> float:
-    """lambda > 0 with sum p exp(lambda s) = 1 over lexicon words and the rest."""
-    rest = 1 - rates.sum()
+    """lambda > 0 with sum p exp(lambda s) = 1 over known words and the rest."""
+    rest = max(0.0, 1 - rates.sum())
     over = lambda x: float((rates * np.exp(np.minimum(x * scores, 700))).sum() + rest * np.exp(-x * penalty) - 1)
     lo, hi = 1e-6, 1.0
     while over(hi) < 0 and hi < 1e4:
@@ -141,6 +165,12 @@ def _positive_root(scores: np.ndarray, rates: np.ndarray, penalty: float) -> flo
     return hi
 
 
+def _gumbel_scale(best: np.ndarray, n_words: np.ndarray, rate: float) -> float:
+    """K that makes the texts' best scores likeliest, if P(best <= x) = exp(-K n exp(-rate x)); a text without a segment has a best of 0."""
+    weight = (n_words * np.exp(-rate * np.maximum(best, 0.0))).sum()
+    return float(np.clip((best > 0).sum() / weight, 1e-6, 1e3)) if weight > 0 else 0.1
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Weighted logistic regression on one feature with a weak ridge, by Newton's method."""
     a, b = 0.0, 0.0
@@ -172,34 +202,35 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, config: Config =
     # the sample's size is bounded by rows_per_class, so it may be broadcast
     sample = cut(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
     flags = sample.select("text", (F.col("toxic") == 1).alias("t"), (F.col("toxic") == 0).alias("o"))
-    by_class = cut(_count(flags, ["t", "o"], None), "words")
-    sums = by_class.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o")).first()
-    n_t, n_o = float(sums["t"] or 0), float(sums["o"] or 0)
-    rows = by_class.where(F.col("n_t") >= config.least_texts).collect()
-    if not rows or not n_o:
+    by_class = cut(_count(flags.withColumn("p", F.col("o")), ["t", "o", "p"], None, every="p"), "words")
+    sums = by_class.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o"), F.sum("n_p").alias("p")).first()
+    n_t, n_o, n_p = (float(sums[c] or 0) for c in "top")
+    if not n_t or not n_o:
+        return Model()
+    # words whose two rates are less than one standard error apart can't come to say anything
+    x, y = F.col("n_t") + 0.5, F.col("n_o") + 0.5
+    telling = F.abs(F.log(x / n_t) - F.log(y / n_o)) >= F.sqrt(1 / x + 1 / y)
+    rows = by_class.where(((F.col("n_t") >= config.least_texts) | (F.col("n_o") >= config.least_texts)) & telling).collect()
+    if not rows:
         return Model()
-    words, y_t, y_o = [r["word"] for r in rows], np.array([r["n_t"] for r in rows], float), np.array([r["n_o"] for r in rows], float)
+    words = [r["word"] for r in rows]
+    y_t, y_o, y_p = (np.array([r[f"n_{c}"] for r in rows], float) for c in "top")
     everywhere = _count(docs.select("text", F.lit(True).alias("all")), ["all"], frozenset(words))
     in_corpus = {r["word"]: r["n_all"] for r in everywhere.collect()}
     size = max(docs.where("text IS NOT NULL").count(), 1)
     texts = max(sample.count(), 1)
-    # pseudo-counts: as many as the toxic class has counts, shared out by corpus frequency
+    # pseudo-counts in proportion to each class's counts, shared out by corpus frequency
     share_of = np.array([in_corpus.get(w, 1) for w in words], float) / size * texts / (n_t + n_o)
-    alpha, a0 = np.maximum(n_t * share_of, 1e-6), n_t
-    odds = np.log((y_t + alpha) / (n_t + a0)) - np.log((y_o + alpha) / (n_o + a0))
-    z = odds / np.sqrt(1 / (y_t + alpha) + 1 / (y_o + alpha))
-    lexicon = {w: float(odds[i]) for i, w in enumerate(words) if z[i] >= config.least_z and odds[i] >= 1.0}
-    if not lexicon:
+    a_t, a_o = (np.maximum(config.prior * n * share_of, 1e-6) for n in (n_t, n_o))
+    odds = np.log((y_t + a_t) / (n_t * (1 + config.prior))) - np.log((y_o + a_o) / (n_o * (1 + config.prior)))
+    z = odds / np.sqrt(1 / (y_t + a_t) + 1 / (y_o + a_o))
+    odds[np.abs(z) < config.least_z] = 0.0
+    model = Model(odds={w: float(x) for w, x in zip(words, odds, strict=True) if x}, penalty=config.drift)
+    if not any(x > model.penalty for x in model.odds.values()):
         return Model()
-    model = Model(lexicon=lexicon)
-    at = np.array([i for i, w in enumerate(words) if w in lexicon])
-    scored = segment_scores(sample, model, ["toxic"]).select("toxic", "n_words", "n_hits").collect()
-    t, n, hits = (np.array([r[c] for r in scored], float) for c in ("toxic", "n_words", "n_hits"))
-    dense = hits[(t == 1) & (hits > 0)].sum() / max(n[(t == 1) & (hits > 0)].sum(), 1.0)
-    model.penalty = float(np.clip(-np.log1p(-min(dense, 0.5)), 0.01, 0.5))
-    clean_words = max(n[t == 0].sum(), 1.0)
-    rates = (y_o[at] + 0.05) / clean_words
-    model.rate = _positive_root(np.array([lexicon[words[i]] for i in at]), rates / max(1.0, 2 * rates.sum()), model.penalty)
+    model.rate = _positive_root(odds - model.penalty, y_p / max(n_p, 1.0), model.penalty)
+    told = segment_scores(sample, model, ["toxic"]).where("toxic = 0").select("n_words", "best").collect()
+    model.scale = _gumbel_scale(np.array([r["best"] for r in told], float), np.array([r["n_words"] for r in told], float), model.rate)
     scored = segment_scores(sample, model, ["toxic"]).select("toxic", "evidence").collect()
     t, x = np.array([r["toxic"] for r in scored], float), np.log1p(np.array([r["evidence"] for r in scored], float))
     model.intercept, model.slope = _logistic(x, t, np.where(t == 1, 1 / share[1], 1 / share[0]))
@@ -207,13 +238,13 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, config: Config =
 
 
 def segment_scores(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all, if None) with n_words, n_hits, evidence, toxicity (0 to 1) and segments.
+    """Columns `keep` (all, if None) with n_words, n_hits (words with a positive score), best (the best segment's score, or 0), evidence, toxicity (0 to 1) and segments.
 
     segments lists every significant passage as (first word, end word, score,
     expected number in a clean text). Null and empty texts have none and get the
     model's base probability. Own columns of these names are replaced.
     """
-    made = {"n_words": "long", "n_hits": "long", "evidence": "double", "toxicity": "double", "segments": "array<struct<start:int,end:int,score:double,expected:double>>"}
+    made = {"n_words": "long", "n_hits": "long", "best": "double", "evidence": "double", "toxicity": "double", "segments": "array<struct<start:int,end:int,score:double,expected:double>>"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     by_name = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {by_name[c]}" for c in keep), *(f"{k} {v}" for k, v in made.items())])
@@ -221,19 +252,20 @@ def segment_scores(docs: DataFrame, model: Model, keep: list[str] | None = None)
 
     def run(reader) -> Iterator[pa.RecordBatch]:
         for batch in batches(reader, 512):
-            sizes, hits, evidence, segments = [], [], [], []
-            for text in batch.column("__text").to_pylist():
+            sizes, hits, best, evidence, segments = [], [], [], [], []
+            for text in batch.column(len(keep)).to_pylist():
                 words = tokens(text)
                 found = segments_of(words, model)
                 sizes.append(len(words))
                 hits.append(sum(w in model.lexicon for w in words) if found else 0)
+                best.append(max((x for _, _, x in found), default=0.0))
                 evidence.append(model.evidence(found, len(words)))
                 k = max(model.scale * len(words), 1.0)
                 told = [{"start": s, "end": e, "score": x, "expected": float(k * np.exp(-model.rate * x))} for s, e, x in found]
                 segments.append([d for d in told if d["expected"] < 1])
             yield pa.record_batch(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(evidence, pa.float64()), pa.array(model.probability(np.array(evidence)), pa.float64()), pa.array(segments, kind)],
+                [*(batch.column(i) for i in range(len(keep))), pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), pa.array(best, pa.float64()), pa.array(evidence, pa.float64()), pa.array(model.probability(np.array(evidence)), pa.float64()), pa.array(segments, kind)],
                 names=[*keep, *made],
             )
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(unused(keep))).mapInArrow(run, schema)

@@ -202,7 +202,7 @@ def test_language(spark):
     told = langid.predict(d, net).where(remainder("doc_id", 4) == 2).select("lang", "lang_pred", "lang_score").collect()
     assert np.mean([x["lang"] == x["lang_pred"] for x in told]) >= 0.97
     assert all(0 <= x["lang_score"] <= 1 for x in told)
-    odd = docs(spark, [(1, None, "en"), (2, "", None), (3, "123 +-% 4", "fr"), (4, "Ça", None), (5, "the and of " * 30_000, "en"), (None, "the thing that was", "en")]).withColumn("lang_pred", F.lit(1))
+    odd = docs(spark, [(1, None, "en"), (2, "", None), (3, "123 +-% 4", "fr"), (4, "Ça", None), (5, "the and of " * 30_000, "en"), (None, "the thing that was", "en")]).withColumn("lang_pred", F.lit(1)).withColumn("__text", F.lit(0))
     got = {x["doc_id"]: (x["lang_pred"], x["lang_score"]) for x in langid.predict(odd, net).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[5][0] == got[None][0] == "en" and got[4][0] in net.languages
     folded, plain = langid.Predictor(net), langid._responses
@@ -235,12 +235,9 @@ def test_segments():
     r = random.Random(1)
     for _ in range(200):
         n = r.randrange(0, 25)
-        hits = [(i, r.choice([1.0, 2.25, 3.5])) for i in range(n) if r.random() < 0.3]
-        penalty = r.choice([0.3, 0.55, 1.15])
-        scores = [-penalty] * n
-        for i, s in hits:
-            scores[i] = s
-        got = toxicity.maximal_segments(hits, penalty)
+        scores = [r.uniform(0.5, 4) if r.random() < 0.3 else -r.uniform(0.1, 1.5) for _ in range(n)]
+        model = toxicity.Model(odds={f"w{i}": s + 0.5 for i, s in enumerate(scores)})
+        got = toxicity.segments_of([f"w{i}" for i in range(n)], model)
         want = brute_segments(scores)
         assert sum(x for _, _, x in got) == pytest.approx(sum(x for _, _, x in want))
         assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
@@ -250,11 +247,12 @@ def test_toxicity(spark):
     large = SF.replace("0.01", "0.1")
     d, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
     model = toxicity.fit(d, labels.unionByName(labels.limit(5)), remainder("doc_id", 5) != 0)
-    assert {"idiot", "stupid", "trash"} <= set(model.lexicon)
+    assert {"idiot", "stupid", "trash"} <= model.lexicon
+    assert min(model.odds.values()) < 0 < model.scale and model.rate > 0
     held = toxicity.segment_scores(d, model).join(labels, "doc_id").where(remainder("doc_id", 5) == 0).select("toxic", "toxicity").collect()
     t, s = np.array([x["toxic"] for x in held]), np.array([x["toxicity"] for x in held])
     assert np.mean((s >= 0.5) == t) >= 0.97 and s[t == 1].mean() > s[t == 0].mean() + 0.4
-    odd = docs(spark, [(1, None, "en"), (2, "", "en"), (3, "you idiot stupid moron trash", "en"), (4, "the thing " * 30_000, "en"), (None, "IDIOT! Stupid, moron", None)]).withColumn("toxicity", F.lit("x"))
+    odd = docs(spark, [(1, None, "en"), (2, "", "en"), (3, "you idiot stupid moron trash", "en"), (4, "the thing " * 30_000, "en"), (None, "IDIOT! Stupid, moron", None)]).withColumn("toxicity", F.lit("x")).withColumn("__text", F.lit(0))
     got = {x["doc_id"]: x for x in toxicity.segment_scores(odd, model).collect()}
     assert got[1]["toxicity"] == got[2]["toxicity"] < 0.5 < got[3]["toxicity"] and got[None]["toxicity"] > 0.5 and got[4]["segments"] == []
     assert got[3]["segments"][0]["start"] == 1
@@ -262,6 +260,14 @@ def test_toxicity(spark):
     assert {x["toxicity"] < 0.5 for x in toxicity.segment_scores(odd, none).collect()} == {True}
 
 
+def test_gumbel_scale():
+    """K is found again from best scores drawn with it."""
+    r = np.random.default_rng(0)
+    n = r.integers(50, 2000, 4000).astype(float)
+    best = np.log(0.03 * n / r.exponential(size=4000)) / 0.7
+    assert toxicity._gumbel_scale(np.maximum(best, 0), n, 0.7) == pytest.approx(0.03, rel=0.08)
+
+
 # -- packing --------------------------------------------------------------------------
 
 
