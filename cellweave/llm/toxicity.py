@@ -7,9 +7,11 @@ make it telling. A word's log-odds, 0 where they lie within `least_z` standard
 errors of that, less a constant, which makes a clean text drift down, are its score. One linear scan finds all maximal scoring segments of a
 text. A segment's score S becomes an expected number of such segments in a clean
 text of n words, K n exp(-lambda S): lambda solves sum p exp(lambda s) = 1 for the
-words of clean text, K is the maximum-likelihood estimate from the best segments
-of the clean labelled texts. The evidence of a text's significant segments is
-turned into a probability by a logistic curve.
+words of clean text, K is the least that covers how often clean texts' best
+segments reach a score. Segments expected less than once are significant; the sum
+of their -log expectations is a text's evidence, which a logistic curve turns into
+a probability. lambda, K and the curve come from one half of the labelled texts,
+under log-odds learned from the other.
 """
 
 from __future__ import annotations
@@ -66,10 +68,10 @@ class Model:
         return frozenset(w for w, x in self.scores.items() if x > 0)
 
     def evidence(self, segments: list[tuple[int, int, float]], n_words: int) -> float:
-        """Sum over segments of the excess of lambda S over ln(K n)."""
+        """Sum over segments of -log of their expected number, where that is below 1."""
         if not segments:
             return 0.0
-        floor = np.log(max(self.scale * n_words, 1.0))
+        floor = np.log(self.scale * max(n_words, 1))
         return float(sum(max(0.0, self.rate * s - floor) for _, _, s in segments))
 
     def probability(self, evidence: float | np.ndarray) -> float | np.ndarray:
@@ -165,10 +167,18 @@ def _positive_root(scores: np.ndarray, rates: np.ndarray, penalty: float) -> flo
     return hi
 
 
-def _gumbel_scale(best: np.ndarray, n_words: np.ndarray, rate: float) -> float:
-    """K that makes the texts' best scores likeliest, if P(best <= x) = exp(-K n exp(-rate x)); a text without a segment has a best of 0."""
-    weight = (n_words * np.exp(-rate * np.maximum(best, 0.0))).sum()
-    return float(np.clip((best > 0).sum() / weight, 1e-6, 1e3)) if weight > 0 else 0.1
+def _scale(best: np.ndarray, n_words: np.ndarray, rate: float, least: int = 5) -> float:
+    """The least K for which no more texts reach any score x than the K sum n exp(-rate x) expected.
+
+    Were all clean texts alike, any x would give the same K. They are not: a word
+    that few of them have comes often in those, so the tail decides. Scores that
+    fewer than `least` texts, or one in 500, reach are left out.
+    """
+    total, out = n_words.sum(), 0.0
+    tail = np.sort(best[best > 0])[::-1]
+    for k in range(max(least, -(-len(best) // 500)), len(tail) + 1):
+        out = max(out, k / (total * np.exp(-rate * tail[k - 1])))
+    return float(np.clip(out, 0.01, 1e3))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -200,39 +210,52 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, config: Config =
     draw = F.pmod(F.xxhash64(F.lit(config.seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # the sample's size is bounded by rows_per_class, so it may be broadcast
-    sample = cut(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
-    flags = sample.select("text", (F.col("toxic") == 1).alias("t"), (F.col("toxic") == 0).alias("o"))
-    by_class = cut(_count(flags.withColumn("p", F.col("o")), ["t", "o", "p"], None, every="p"), "words")
-    sums = by_class.agg(F.sum("n_t").alias("t"), F.sum("n_o").alias("o"), F.sum("n_p").alias("p")).first()
-    n_t, n_o, n_p = (float(sums[c] or 0) for c in "top")
-    if not n_t or not n_o:
+    sample = cut(docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")
+    half = F.pmod(F.xxhash64(F.lit(config.seed), "h"), F.lit(2)) == 0
+    toxic = F.col("toxic") == 1
+    # both classes; of one half alone; and every place of a word in the other half's clean texts
+    flags = sample.select("text", toxic.alias("t"), (~toxic).alias("o"), (toxic & half).alias("ht"), (~toxic & half).alias("ho"), (~toxic & ~half).alias("p"))
+    columns = ["t", "o", "ht", "ho", "p"]
+    by_class = cut(_count(flags, columns, None, every="p"), "words")
+    sums = by_class.agg(*(F.sum(f"n_{c}").alias(c) for c in columns)).first()
+    n = {c: float(sums[c] or 0) for c in columns}
+    if not all(n.values()):
         return Model()
     # words whose two rates are less than one standard error apart can't come to say anything
     x, y = F.col("n_t") + 0.5, F.col("n_o") + 0.5
-    telling = F.abs(F.log(x / n_t) - F.log(y / n_o)) >= F.sqrt(1 / x + 1 / y)
+    telling = F.abs(F.log(x / n["t"]) - F.log(y / n["o"])) >= F.sqrt(1 / x + 1 / y)
     rows = by_class.where(((F.col("n_t") >= config.least_texts) | (F.col("n_o") >= config.least_texts)) & telling).collect()
     if not rows:
         return Model()
     words = [r["word"] for r in rows]
-    y_t, y_o, y_p = (np.array([r[f"n_{c}"] for r in rows], float) for c in "top")
+    seen = {c: np.array([r[f"n_{c}"] for r in rows], float) for c in columns}
     everywhere = _count(docs.select("text", F.lit(True).alias("all")), ["all"], frozenset(words))
     in_corpus = {r["word"]: r["n_all"] for r in everywhere.collect()}
     size = max(docs.where("text IS NOT NULL").count(), 1)
     texts = max(sample.count(), 1)
-    # pseudo-counts in proportion to each class's counts, shared out by corpus frequency
-    share_of = np.array([in_corpus.get(w, 1) for w in words], float) / size * texts / (n_t + n_o)
-    a_t, a_o = (np.maximum(config.prior * n * share_of, 1e-6) for n in (n_t, n_o))
-    odds = np.log((y_t + a_t) / (n_t * (1 + config.prior))) - np.log((y_o + a_o) / (n_o * (1 + config.prior)))
-    z = odds / np.sqrt(1 / (y_t + a_t) + 1 / (y_o + a_o))
-    odds[np.abs(z) < config.least_z] = 0.0
-    model = Model(odds={w: float(x) for w, x in zip(words, odds, strict=True) if x}, penalty=config.drift)
-    if not any(x > model.penalty for x in model.odds.values()):
+    # shares of all that a class has, by corpus frequency
+    share_of = np.array([in_corpus.get(w, 1) for w in words], float) / size * texts / (n["t"] + n["o"])
+
+    def learned(t: str, o: str) -> np.ndarray:
+        a_t, a_o = (np.maximum(config.prior * n[c] * share_of, 1e-6) for c in (t, o))
+        odds = np.log((seen[t] + a_t) / (n[t] * (1 + config.prior))) - np.log((seen[o] + a_o) / (n[o] * (1 + config.prior)))
+        odds[np.abs(odds) < config.least_z * np.sqrt(1 / (seen[t] + a_t) + 1 / (seen[o] + a_o))] = 0.0
+        return odds
+
+    told = lambda odds: {w: float(x) for w, x in zip(words, odds, strict=True) if x}
+    model, odds = Model(odds=told(learned("t", "o")), penalty=config.drift), learned("ht", "ho")
+    trial = Model(odds=told(odds), penalty=config.drift)
+    if not trial.lexicon:
+        odds, trial = learned("t", "o"), model
+    if not trial.lexicon:
         return Model()
-    model.rate = _positive_root(odds - model.penalty, y_p / max(n_p, 1.0), model.penalty)
-    told = segment_scores(sample, model, ["toxic"]).where("toxic = 0").select("n_words", "best").collect()
-    model.scale = _gumbel_scale(np.array([r["best"] for r in told], float), np.array([r["n_words"] for r in told], float), model.rate)
-    scored = segment_scores(sample, model, ["toxic"]).select("toxic", "evidence").collect()
+    trial.rate = _positive_root(odds - config.drift, (seen["p"] + 0.5) / n["p"] / 1.5, config.drift)
+    other = sample.where(~half)
+    clean = segment_scores(other, trial, ["toxic"]).where("toxic = 0").select("n_words", "best").collect()
+    trial.scale = _scale(np.array([r["best"] for r in clean], float), np.array([r["n_words"] for r in clean], float), trial.rate)
+    scored = segment_scores(other, trial, ["toxic"]).select("toxic", "evidence").collect()
     t, x = np.array([r["toxic"] for r in scored], float), np.log1p(np.array([r["evidence"] for r in scored], float))
+    model.rate, model.scale = trial.rate, trial.scale
     model.intercept, model.slope = _logistic(x, t, np.where(t == 1, 1 / share[1], 1 / share[0]))
     return model
 
@@ -260,7 +283,7 @@ def segment_scores(docs: DataFrame, model: Model, keep: list[str] | None = None)
                 hits.append(sum(w in model.lexicon for w in words) if found else 0)
                 best.append(max((x for _, _, x in found), default=0.0))
                 evidence.append(model.evidence(found, len(words)))
-                k = max(model.scale * len(words), 1.0)
+                k = model.scale * max(len(words), 1)
                 told = [{"start": s, "end": e, "score": x, "expected": float(k * np.exp(-model.rate * x))} for s, e, x in found]
                 segments.append([d for d in told if d["expected"] < 1])
             yield pa.record_batch(

