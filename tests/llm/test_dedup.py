@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import lines, minhash, spans
 from cellweave.llm.common import words_of
@@ -184,11 +185,39 @@ def test_line_rows_that_repeat(spark):
 def test_run_store_levels(spark):
     store = lines.RunStore(spark, buckets=2, fanout=2)
     for b in range(5):
-        keys = spark.createDataFrame([(b * 10 + i, 0, b, b) for i in range(10)] + [(0, 0, b, b)] * (b > 0), "h1 long, h2 long, first long, last long")
+        keys = spark.createDataFrame([(b * 10 + i, 0, b, b) for i in range(10)] + [(0, 0, b, b)] * (b > 0), "h1 long, h2 long, first long, last long").withColumn("n", F.lit(1).cast("long"))
         told = store.add(keys.dropDuplicates(["h1", "h2"])).collect()
         assert sum(x["seen"] for x in told) == (1 if b else 0)
     assert [len(level) for level in store.levels] == [1, 0, 1]
     assert sum(x.count() for x in store.runs()) == 50
+    store.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cellweave_run_")]
+
+
+def test_store_takes_batches_of_other_sessions(spark):
+    """A store that is opened again knows the lines of earlier batches."""
+    from cellweave.llm.common import shared_path
+
+    r = random.Random(5)
+    stock = [f"This is line number {i}" for i in range(60)]
+    rows = [(i, "\n".join(r.choice(stock) for _ in range(r.randrange(1, 9)))) for i in range(60)]
+    want, path, got = brute_lines(rows), shared_path(spark, "store"), {}
+    for k in range(4):
+        store = lines.RunStore(spark, 2, 2, path) if not k else lines.RunStore.open(spark, path)
+        own = docs(spark, rows[15 * k : 15 * k + 15])
+        got |= {x["doc_id"]: (x["lines_before"], x["lines_dropped"], x["kept"]) for x in lines.dedup_lines(own, n_batches=2, store=store).collect()}
+        for level in store.levels:  # as in a session that has not heard of them
+            for name, _ in level:
+                spark.sql(f"DROP TABLE {name}")
+    assert got == want
+
+
+def test_hot_line(spark):
+    """One line in most documents, over several batches: it goes everywhere but in the first, and its rows meet in no single task."""
+    rows = [(i, f"the same line everywhere\nline of document {i}\nline of some documents {i % 7}") for i in range(400)]
+    want = brute_lines(rows)
+    got = {x["doc_id"]: (x["lines_before"], x["lines_dropped"], x["kept"]) for x in lines.dedup_lines(docs(spark, rows)).collect()}
+    assert got == want
 
 
 def brute_spans(rows, least, n):
