@@ -282,8 +282,39 @@ def test_ids_equal_the_tokenizer():
     encode = packing.Encoder(**tokenizer_args())
     import pandas as pd
 
-    texts = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()[:200] + ["", " ", "a  b\n\n c\t\td", "x<|endoftext|>y", "don't you'll    ok", "日本語 текст 🙂🙂", "12345 6.7e8 ++--==", "\x00\x01"]
-    assert all(encode(t) == other.encode(t, add_special_tokens=False).ids for t in texts)
+    texts = [t or "" for t in pd.read_parquet("/root/testdata/sf0.1/documents.parquet").text] + ["", " ", "a  b\n\n c\t\td", "x<|endoftext|>y", "don't you'll    ok", "日本語 текст 🙂🙂", "12345 6.7e8 ++--==", "\x00\x01"]
+    r = random.Random(1)
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x2000), r.randrange(0x4E00, 0x9FFF), r.randrange(0x1F300, 0x1FAFF), 10, 32, 39])) for _ in range(r.randrange(200))) for _ in range(500)]
+    assert [encode(t) for t in texts] == [e.ids for e in other.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_pack_with_loss(spark):
+    """Parts with and without loss: ids, loss and all three limits, on a table; and conversations."""
+    encode = packing.Encoder(**tokenizer_args())
+    r = random.Random(3)
+    rows = [(i, [(" ".join(some(r.randrange(0, 120), 10 * i + k)), r.choice([True, False, None])) for k in range(r.randrange(0, 6))]) for i in range(60)] + [(100, None), (101, [(None, True)]), (102, [("a b c", False)])]
+    table = spark.createDataFrame(rows, "doc_id long, parts array<struct<text string, loss boolean>>").withColumn("text", F.lit("unread")).repartition(2)
+    limits = packing.Limits(tokens=300, segments=5, loss_tokens=90)
+    got = packing.pack(table, **tokenizer_args(), limits=limits, with_ids=True, parts="parts").toPandas()
+    for doc, parts in rows:
+        ids, loss = [], []
+        for t, x in parts or []:
+            own = encode(t or "")
+            ids, loss = ids + own, loss + [bool(x)] * len(own)
+        own = got[got.doc_id == doc].sort_values("start")
+        assert [x for v in own.ids for x in v] == [*ids, 1] and [x for v in own.loss for x in v] == [*loss, loss[-1] if loss else False]
+    told = got.groupby("sequence_id").agg(tokens=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    assert told.tokens.max() <= 300 and told.segments.max() <= 5 and told.loss.max() <= 90 and told.loss.max() > 60
+    assert (got.loss_tokens == [sum(x) for x in got.loss]).all()
+    talk = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    talk = talk.unionByName(talk.limit(2)).unionByName(spark.createDataFrame([(None, 1, "user", "x"), (10**6, None, "user", "x"), *((10**6 + 1, k, "assistant", f"t{k}") for k in range(600))], talk.schema))
+    made = packing.conversation_parts(talk)
+    many = {x["part"]: x["parts"] for x in made.where("doc_id = 1000001").collect()}
+    assert sorted(many) == [0, 1, 2] and [p["text"] for p in many[1]] == [f"assistant\nt{k}\n" for k in range(256, 512)]
+    assert made.where("doc_id IS NULL OR doc_id = 1000000").count() == 0
+    packed = packing.pack(made, **tokenizer_args(), parts="parts").toPandas()
+    assert set(packed.doc_id) == {x["conv_id"] for x in talk.where("conv_id <> 1000000").select("conv_id").distinct().collect()}
+    assert 0 < packed.loss_tokens.sum() < packed.length.sum()
 
 
 def test_pack(spark):
