@@ -6,6 +6,11 @@ The network is trained in numpy, on the driver, on a bounded sample of labelled
 windows. For prediction the embedding and the filters fold into tables of
 responses per byte and per byte pair, so that a window costs a few gathers. A
 text's probabilities are those of all its windows, weighted by their bytes.
+
+One more class is learned from made-up text that is in no language: the sample's
+own letters in another order, letters at random, other scripts, codes. A text's
+share of it tells how little it resembles any known language; predictions are
+among the languages alone.
 """
 
 from __future__ import annotations
@@ -21,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import batches, one_thread, unused
 
 UNDETERMINED = "und"
+#: The label of what is in no known language.
+OTHER = ""
+#: First and last letters of scripts that made-up text is drawn from.
+SCRIPTS = ((0x430, 0x44F), (0x3B1, 0x3C9), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 WIDTHS = (2, 3, 4)
 
 
@@ -33,7 +42,7 @@ class Config:
     texts_per_language: int = 500
     #: ... and this many windows of each.
     windows_per_text: int = 3
-    epochs: int = 6
+    epochs: int = 8
     seed: int = 5
 
 
@@ -48,6 +57,28 @@ class Network:
     window: int
 
 
+def made_up(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """One text in no language for each given one, of about its length."""
+    out = []
+    for i, raw in enumerate(texts):
+        text, kind = raw.decode("utf-8", "ignore"), i % 4
+        sizes = [max(1, len(w)) for w in text.split()] or [4]
+        if kind == 0:
+            letters = [c for c in text if not c.isspace()]
+            rng.shuffle(letters)
+            ends = np.cumsum(sizes)
+            words = ["".join(letters[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+        elif kind == 1:
+            words = ["".join(map(chr, rng.integers(97, 123, n))) for n in sizes]
+        elif kind == 2:
+            low, high = SCRIPTS[rng.integers(len(SCRIPTS))]
+            words = ["".join(map(chr, rng.integers(low, high + 1, n))) for n in sizes]
+        else:
+            words = [bytes(rng.integers(0, 256, n, dtype=np.uint8)).hex() if rng.random() < 0.5 else "".join(rng.choice(list("ABCDEFGHIJabcdefghij0123456789+/=_"), 2 * n)) for n in sizes]
+        out.append(" ".join(words).encode("utf-8")[: len(raw)])
+    return out
+
+
 def _windows(texts: list[bytes], size: int) -> np.ndarray:
     out = np.zeros((len(texts), size), np.uint8)
     for i, t in enumerate(texts):
@@ -75,21 +106,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: list[str], config: Config = Config()) -> Network:
-    """Adam on cross-entropy; deterministic for equal input in equal order."""
+    """Adam on cross-entropy; deterministic for equal input in equal order. The last class is OTHER."""
     languages = sorted(set(labels))
     rng = np.random.default_rng(config.seed)
-    k, e, n = len(languages), config.embedding, config.filters
+    if languages:
+        made = made_up([texts[i] for i in rng.permutation(len(texts))[: -(-len(texts) // len(languages))]], rng)
+        texts, labels = [*texts, *made], [*labels, *[OTHER] * len(made)]
+    classes = [*languages, OTHER]
+    k, e, n = len(classes), config.embedding, config.filters
     net = Network(
         languages, rng.normal(0, 0.5, (256, e)).astype("f4"), [rng.normal(0, 1 / np.sqrt(w * e), (w * e, n)).astype("f4") for w in WIDTHS],
         np.zeros(n * len(WIDTHS), "f4"), rng.normal(0, 0.1, (n * len(WIDTHS), k)).astype("f4"), np.zeros(k, "f4"), config.window,
     )
     net.embed[0] = 0
-    if k < 2:
+    if not languages:
         return net
     # as many short pieces as long ones, so that a few words suffice
     short = [t[: int(s)] for t, s in zip(texts, rng.integers(6, config.window // 2, len(texts)), strict=True)]
     x = np.concatenate([_windows(texts, config.window), _windows(short, config.window)])
-    y = np.array([languages.index(c) for c in labels] * 2)
+    y = np.array([classes.index(c) for c in labels] * 2)
     weight = (1 / np.bincount(y, minlength=k))[y]
     weight = (weight / weight.mean()).astype("f4")
     params = [net.embed, *net.filters, net.bias, net.head, net.head_bias]
@@ -147,22 +182,23 @@ class Predictor:
             out[at : at + 16, 2 * n :] = (r[:, : size - 3, 2 * n :] + self.second[pair[:, 2:]]).max(axis=1)
         return _softmax(np.maximum(out + self.net.bias, 0) @ self.net.head + self.net.head_bias)
 
-    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """Language and its probability; `und` and 0 for a null text and one without a letter."""
+    def texts(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, its probability, and that of none; `und`, 0 and 1 for a null text and one without a letter."""
         net, size = self.net, self.net.window
-        langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        langs, scores, others = [UNDETERMINED] * len(texts), [0.0] * len(texts), [1.0] * len(texts)
         todo = [i for i, t in enumerate(texts) if t and net.languages and any(map(str.isalpha, t))]
         if not todo:
-            return langs, scores
+            return langs, scores, others
         raw = [texts[i].encode("utf-8", "replace").lower() for i in todo]
         counts = np.array([-(-len(r) // size) for r in raw])
         x = np.frombuffer(b"".join(r.ljust(c * size, b"\0") for r, c in zip(raw, counts, strict=True)), np.uint8).reshape(-1, size)
         p = self.windows(x) * (x != 0).sum(axis=1, keepdims=True).clip(1)
         total = np.add.reduceat(p, np.concatenate([[0], np.cumsum(counts)[:-1]]), axis=0)
         total /= total.sum(axis=1, keepdims=True)
-        for i, best, row in zip(todo, total.argmax(axis=1), total, strict=True):
-            langs[i], scores[i] = net.languages[best], float(min(1.0, row[best]))
-        return langs, scores
+        known = total[:, :-1] / np.maximum(total[:, :-1].sum(axis=1, keepdims=True), 1e-30)
+        for i, best, row, other in zip(todo, known.argmax(axis=1), known, total[:, -1], strict=True):
+            langs[i], scores[i], others[i] = net.languages[best], float(min(1.0, row[best])), float(min(1.0, other))
+        return langs, scores, others
 
 
 def fit(docs: DataFrame, may_learn: Column, config: Config = Config()) -> Network:
@@ -193,20 +229,22 @@ def fit(docs: DataFrame, may_learn: Column, config: Config = Config()) -> Networ
 
 
 def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (all, if None) with lang_pred and lang_score from column text.
+    """Columns `keep` (all, if None) with lang_pred, lang_score and lang_other from column text.
 
     lang_pred is a learned language, or `und` with score 0 where text is null or
-    has no letter. Own columns of the two result names are replaced.
+    has no letter. lang_other (0 to 1) tells how little the text resembles any
+    learned language. Own columns of the three result names are replaced.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "lang_score")]
+    made = ["lang_pred", "lang_score", "lang_other"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     by_name = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {by_name[c]}" for c in keep), "lang_pred string", "lang_score double"])
+    schema = ", ".join([*(f"`{c}` {by_name[c]}" for c in keep), "lang_pred string", "lang_score double", "lang_other double"])
 
     def run(reader) -> Iterator[pa.RecordBatch]:
         one_thread()
         model = Predictor(net)
         for batch in batches(reader, 128):
-            langs, scores = model.texts(batch.column(len(keep)).to_pylist())
-            yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "lang_score"])
+            langs, scores, others = model.texts(batch.column(len(keep)).to_pylist())
+            yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(others, pa.float64())], names=[*keep, *made])
 
     return docs.select(*keep, F.col("text").alias(unused(keep))).mapInArrow(run, schema)

@@ -106,23 +106,25 @@ def test_pipeline(spark):
     """What each stage drops and keeps is right for its own input."""
     import corpus_pipeline as p
     from cellweave.llm import minhash
+    from cellweave.llm.common import cut
 
     sf = "/root/testdata/sf0.001"
     bench = spark.read.parquet(f"{sf}/benchmark.parquet").limit(1).first()["text"]
     base = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60)
-    extra = spark.createDataFrame([(9001, "12 34 +- 5", "en", "s", 9), (9002, None, None, "s", 0), (9003, f"Some words before. {bench} And some words after it.", "en", "s", 0)], base.schema)
+    extra = spark.createDataFrame([(9001, "12 34 +- 5", "en", "s", 9), (9002, None, None, "s", 0), (9003, f"Some words before. {bench} And some words after it.", "en", "s", 0), (9004, "Это предложение написано по русски и должно быть отвергнуто", None, "s", 0), (9005, "xkqzv wpfjt bnmqr zzkxw qwrtp sdfgh jklmn vbnxc rtwqp lkjhg zzxcv mnbvc qqwer", None, "s", 0)], base.schema)
     docs, kept = base.unionByName(extra), {}
     before = {r["doc_id"] for r in docs.collect()}
     for name, stage in p.STAGES[:-1]:
-        docs = p.cut(stage(spark, docs, sf), name)
+        docs = cut(stage(spark, docs, sf), name)
         assert docs.columns == p.COLUMNS
         kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert before - set(kept["language_id"]) == {9001, 9002}
+    assert before - set(kept["language_id"]) == {9001, 9002, 9004, 9005}
     assert set(kept["line_dedup"]) == set(kept["language_id"])
     sets = {i: minhash.shingle_set(t, 5) for i, t in kept["line_dedup"].items()}
     ids = sorted(sets)
     linked = {b for n, a in enumerate(ids) for b in ids[n + 1 :] if (c := len(sets[a] & sets[b])) and 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c)}
     assert set(ids) - set(kept["near_dedup"]) == linked
     assert 9003 in kept["near_dedup"] and 9003 not in kept["decontamination"]
+    assert p.run(spark, sf).schema == p.STAGES[-1][1](spark, docs, sf).schema
     pieces = p.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == set(kept["decontamination"])
