@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm import decontaminate, langid, lines, minhash, packing
-from cellweave.llm.common import cut, table
+from cellweave.llm.common import Scratch, table
 from cellweave.llm.queries import tokenizer_args
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if its language is undetermined, or likely none of those known.
-LEAST_LANGUAGE_SCORE = 0.3
+#: A document is rejected if it has no letter, or if it resembles no known language to this degree: that of other
+#: scripts, letters at random and codes; short or noisy texts in a known language stay below.
+LEAST_OTHER = 0.999
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a known language."""
     net = langid.fit(docs, F.lit(True))
     told = langid.predict(docs.select(*COLUMNS), net)
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_other") < LEAST_OTHER)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what each keeps is written to the shared folder before the next begins."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over `documents`; what each keeps is written to the shared folder before the next begins, and goes after that."""
+    docs, keep, last = table(spark, sf_dir, "documents"), Scratch(spark), None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        docs = keep.cut(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            keep.free(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
