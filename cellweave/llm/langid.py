@@ -55,6 +55,8 @@ class Network:
     head: np.ndarray
     head_bias: np.ndarray
     window: int
+    #: A text whose share of OTHER reaches this resembles no known language.
+    bound: float = 1.0
 
 
 def made_up(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
@@ -156,9 +158,18 @@ def train(texts: list[bytes], labels: list[str], config: Config = Config()) -> N
                 a += 0.1 * (g - a)
                 c += 0.001 * (g * g - c)
                 p -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(c / (1 - 0.999**step)) + 1e-8)).astype("f4")
+    net.bound = _bound(net, x, y == k - 1)
     return net
 
 
+def _bound(net: Network, x: np.ndarray, made: np.ndarray) -> float:
+    """Half-way, in log-odds, from the largest share of a given window to the middle one of those made up."""
+    share = np.concatenate([_softmax(np.maximum(_responses(net, x[i : i + 512])[0], 0) @ net.head + net.head_bias)[:, -1] for i in range(0, len(x), 512)]).astype("f8")
+    odds = np.log(share.clip(1e-12, 1 - 1e-7)) - np.log1p(-share.clip(1e-12, 1 - 1e-7))
+    middle = (odds[~made].max() + np.median(odds[made])) / 2
+    return float(1 / (1 + np.exp(-middle)))
+
+
 class Predictor:
     """The network with its filters folded into response tables."""
 

@@ -206,9 +206,9 @@ def test_language(spark):
     got = {x["doc_id"]: (x["lang_pred"], x["lang_score"]) for x in langid.predict(odd, net).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[5][0] == got[None][0] == "en" and got[4][0] in net.languages
     foreign = ["Это предложение написано по русски и должно быть отвергнуто моделью", "これは日本語の文章です。モデルはこれを知りません。", "xkqzv wpfjt bnmqr zzkxw qwrtp sdfgh jklmn vbnxc rtwqp lkjhg", "αυτή είναι μια ελληνική πρόταση που δεν πρέπει να περάσει"]
-    assert min(langid.Predictor(net).texts(foreign)[2]) > 0.99
+    assert min(langid.Predictor(net).texts(foreign)[2]) > net.bound > 0.5
     others = [x["lang_other"] for x in langid.predict(d, net).collect()]
-    assert np.mean(np.array(others) < 0.5) > 0.99 and max(others) < 0.999
+    assert max(others) < net.bound
     folded, plain = langid.Predictor(net), langid._responses
     x = np.frombuffer(np.random.default_rng(0).bytes(256 * 5), np.uint8).reshape(5, 256)
     raw, _ = plain(net, x)
