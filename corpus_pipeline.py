@@ -16,18 +16,14 @@ from cellweave.llm.common import Scratch, table
 from cellweave.llm.queries import tokenizer_args
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if it has no letter, or if it resembles no known language to this degree: that of other
-#: scripts, letters at random and codes; short or noisy texts in a known language stay below.
-LEAST_OTHER = 0.999
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a known language."""
+    """Keep documents in a known language: those without a letter go, and those that resemble none (other scripts, letters at random, codes)."""
     net = langid.fit(docs, F.lit(True))
     told = langid.predict(docs.select(*COLUMNS), net)
-    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_other") < LEAST_OTHER)).select(*COLUMNS)
+    return told.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("lang_other") < net.bound)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
