@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 
 @dataclass(frozen=True)
 class Seeds:
@@ -29,8 +31,10 @@ class Seeds:
     penalty: int = 2
     #: Items with fewer words are left out; those shorter than every mask must lie in the document as they are.
     least_words: int = 4
-    #: Seeds of test items are broadcast up to this many, and joined by shuffle beyond.
+    #: Seeds of test items are broadcast up to this many (of 32 bytes), and joined by shuffle beyond.
     broadcast_seeds: int = 1_000_000
+    #: So are the items themselves, up to this many bytes of text.
+    broadcast_bytes: int = 32_000_000
 
 
 def words(text: Column) -> Column:
@@ -53,19 +57,23 @@ def _shapes(seeds: Seeds) -> list[tuple[int, str, int]]:
     return [(k, m, m.index("11")) for k, m in masks]
 
 
-def item_seeds(benchmark: DataFrame, seeds: Seeds) -> DataFrame:
-    """(pair, seed, item_id, item_words, j) for every position at which a mask fits an item; j is the position of its pair.
+def item_words(benchmark: DataFrame, seeds: Seeds) -> DataFrame:
+    """(item_id, b, m): the words of items that aren't left out, and their number."""
+    return benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("b")).withColumn("m", F.size("b")).where(F.col("m") >= seeds.least_words)
+
+
+def item_seeds(items: DataFrame, seeds: Seeds) -> DataFrame:
+    """(pair, seed, item_id, m, j, shape) for every position at which a mask fits an item of m words; j is the position of its pair.
 
     Items shorter than every mask get, in their place, one contiguous mask of their own length.
     """
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", words(F.col("text")).alias("b")).withColumn("m", F.size("b")).where(F.col("m") >= seeds.least_words)
     parts = None
     for number, mask, lead in _shapes(seeds):
         fits = F.col("m") >= len(mask) if number < 1000 else F.col("m") == len(mask)
-        rows = items.where(fits).select("item_id", F.col("b").alias("item_words"), F.explode(F.sequence(F.lit(lead), F.col("m") - len(mask) + lead)).alias("j"))
+        rows = items.where(fits).select("item_id", "b", "m", F.explode(F.sequence(F.lit(lead), F.col("m") - len(mask) + lead)).alias("j"))
         part = rows.select(
-            F.xxhash64(F.get("item_words", F.col("j")), F.get("item_words", F.col("j") + 1)).alias("pair"),
-            _seed(F.col("item_words"), F.col("j") - lead, mask, number).alias("seed"), "item_id", "item_words", "j", F.lit(number).alias("shape"),
+            F.xxhash64(F.get("b", F.col("j")), F.get("b", F.col("j") + 1)).alias("pair"),
+            _seed(F.col("b"), F.col("j") - lead, mask, number).alias("seed"), "item_id", "m", "j", F.lit(number).alias("shape"),
         )
         parts = part if parts is None else parts.unionByName(part)
     return parts
@@ -91,23 +99,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> D
     """
     if any("11" not in m for m in seeds.masks) or not seeds.masks or seeds.least_words < 2:
         raise ValueError("every mask has two hashed words side by side, and every item two words")
-    keyed = item_seeds(benchmark.select("item_id", "text"), seeds).cache()
+    keep = Scratch(docs.sparkSession)
+    items = keep.cut(item_words(benchmark.select("item_id", "text"), seeds), "items")
+    keyed = keep.cut(item_seeds(items, seeds), "seeds")
     shapes = {r["shape"]: r["n"] for r in keyed.groupBy("shape").agg(F.count("*").alias("n")).collect()}
-    small = sum(shapes.values()) <= seeds.broadcast_seeds
-    hint = F.broadcast if small else (lambda df: df)
+    size = items.agg(F.max("m").alias("longest"), F.sum(F.octet_length(F.concat_ws(" ", "b"))).alias("bytes")).first()
+    hint = F.broadcast if sum(shapes.values()) <= seeds.broadcast_seeds else (lambda df: df)
+    whole = F.broadcast if (size["bytes"] or 0) <= seeds.broadcast_bytes else (lambda df: df)
     spaces = [(k, m, lead) for k, m, lead in _shapes(seeds) if k in shapes]
-    w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
+    reach = int(size["longest"] or 0)
+    w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
     # no filter on the number of words: it would be pushed down and split each text again
-    places = w.select("doc_id", "w", F.explode(F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.size("w") - 2))).alias("i"))
+    places = w.select("doc_id", "t", "w", F.explode(F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.size("w") - 2))).alias("i"))
     pairs = keyed.select("pair").distinct()
     likely = places.withColumn("pair", F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + 1))).join(hint(pairs), "pair", "left_semi")
     tried = F.array(*(_seed(F.col("w"), F.col("i") - lead, m, k) for k, m, lead in spaces)) if spaces else F.array().cast("array<long>")
-    hits = likely.select("doc_id", "w", "i", F.explode(tried).alias("seed")).join(hint(keyed.select("seed", "item_id", "item_words", "j")), "seed")
-    # the item laid over the document: its word k against word i - j + k
-    start = F.col("i") - F.col("j")
-    equal = F.transform(F.col("item_words"), lambda b, k: F.coalesce((start + k >= 0) & (F.get(F.col("w"), F.greatest(start + k, F.lit(0))) == b), F.lit(False)))
-    # through a generator: else the verdict would become a condition of the join, for which each likely place has its whole text copied
-    seen = hits.select("doc_id", "item_id", start.alias("start"), F.explode(F.array(equal)).alias("equal"))
+    # from here on a place has only the words that an item laid over it can reach
+    off = F.greatest(F.col("i") - reach, F.lit(0))
+    near = likely.select("doc_id", "t", "i", off.alias("off"), F.slice("w", off + 1, F.lit(2 * reach + 1)).alias("w"), F.explode(tried).alias("seed"))
+    hits = near.join(hint(keyed.select("seed", "item_id", "m", "j")), "seed").select("doc_id", "t", "item_id", "m", "w", "off", (F.col("i") - F.col("j")).alias("start"))
+    # several hits of one overlay are one
+    laid = hits.groupBy("doc_id", "t", "item_id", "start").agg(F.first(F.struct("w", "off")).alias("s")).select("doc_id", "item_id", "start", "s.w", "s.off")
+    # the item laid over the document: its word k against word start + k
+    at = F.col("start") - F.col("off")
+    equal = F.transform(F.col("b"), lambda b, k: F.coalesce((F.col("start") + k >= 0) & (F.get(F.col("w"), F.greatest(at + k, F.lit(0))) == b), F.lit(False)))
+    # through a generator: else the verdict would become a condition of the join
+    seen = laid.join(whole(items.select("item_id", "b")), "item_id").select("doc_id", "item_id", "start", F.explode(F.array(equal)).alias("equal"))
     judged = seen.select("doc_id", "item_id", "start", F.size("equal").alias("item_length"), F.size(F.filter("equal", lambda x: x)).alias("n_equal"), _stretch(F.col("equal"), seeds).alias("stretch"))
     good = judged.where((F.col("n_equal") >= F.ceil(F.col("item_length") * seeds.least_share)) | (F.col("stretch") >= seeds.least_stretch))
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_equal", -F.col("start"), "item_length")).alias("best"))

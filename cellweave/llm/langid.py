@@ -249,13 +249,14 @@ def predict(docs: DataFrame, net: Network, keep: list[str] | None = None) -> Dat
     made = ["lang_pred", "lang_score", "lang_other"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     by_name = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    at = keep.index("text") if "text" in keep else len(keep)  # sent once
     schema = ", ".join([*(f"`{c}` {by_name[c]}" for c in keep), "lang_pred string", "lang_score double", "lang_other double"])
 
     def run(reader) -> Iterator[pa.RecordBatch]:
         one_thread()
         model = Predictor(net)
         for batch in batches(reader, 128):
-            langs, scores, others = model.texts(batch.column(len(keep)).to_pylist())
+            langs, scores, others = model.texts(batch.column(at).to_pylist())
             yield pa.record_batch([*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(others, pa.float64())], names=[*keep, *made])
 
-    return docs.select(*keep, F.col("text").alias(unused(keep))).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if at < len(keep) else [F.col("text").alias(unused(keep))])).mapInArrow(run, schema)

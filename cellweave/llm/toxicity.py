@@ -270,13 +270,14 @@ def segment_scores(docs: DataFrame, model: Model, keep: list[str] | None = None)
     made = {"n_words": "long", "n_hits": "long", "best": "double", "evidence": "double", "toxicity": "double", "segments": "array<struct<start:int,end:int,score:double,expected:double>>"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     by_name = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    at = keep.index("text") if "text" in keep else len(keep)  # sent once
     schema = ", ".join([*(f"`{c}` {by_name[c]}" for c in keep), *(f"{k} {v}" for k, v in made.items())])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
     def run(reader) -> Iterator[pa.RecordBatch]:
         for batch in batches(reader, 512):
             sizes, hits, best, evidence, segments = [], [], [], [], []
-            for text in batch.column(len(keep)).to_pylist():
+            for text in batch.column(at).to_pylist():
                 words = tokens(text)
                 found = segments_of(words, model)
                 sizes.append(len(words))
@@ -291,4 +292,4 @@ def segment_scores(docs: DataFrame, model: Model, keep: list[str] | None = None)
                 names=[*keep, *made],
             )
 
-    return docs.select(*keep, F.col("text").alias(unused(keep))).mapInArrow(run, schema)
+    return docs.select(*keep, *([] if at < len(keep) else [F.col("text").alias(unused(keep))])).mapInArrow(run, schema)
