@@ -108,18 +108,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, seeds: Seeds = Seeds()) -> D
     whole = F.broadcast if (size["bytes"] or 0) <= seeds.broadcast_bytes else (lambda df: df)
     spaces = [(k, m, lead) for k, m, lead in _shapes(seeds) if k in shapes]
     reach = int(size["longest"] or 0)
-    w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), words(F.col("text")).alias("w"))
+    w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", words(F.col("text")).alias("w"))
     # no filter on the number of words: it would be pushed down and split each text again
-    places = w.select("doc_id", "t", "w", F.explode(F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.size("w") - 2))).alias("i"))
+    places = w.select("doc_id", "w", F.explode(F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.size("w") - 2))).alias("i"))
     pairs = keyed.select("pair").distinct()
     likely = places.withColumn("pair", F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + 1))).join(hint(pairs), "pair", "left_semi")
     tried = F.array(*(_seed(F.col("w"), F.col("i") - lead, m, k) for k, m, lead in spaces)) if spaces else F.array().cast("array<long>")
     # from here on a place has only the words that an item laid over it can reach
     off = F.greatest(F.col("i") - reach, F.lit(0))
-    near = likely.select("doc_id", "t", "i", off.alias("off"), F.slice("w", off + 1, F.lit(2 * reach + 1)).alias("w"), F.explode(tried).alias("seed"))
-    hits = near.join(hint(keyed.select("seed", "item_id", "m", "j")), "seed").select("doc_id", "t", "item_id", "m", "w", "off", (F.col("i") - F.col("j")).alias("start"))
-    # several hits of one overlay are one
-    laid = hits.groupBy("doc_id", "t", "item_id", "start").agg(F.first(F.struct("w", "off")).alias("s")).select("doc_id", "item_id", "start", "s.w", "s.off")
+    near = likely.select("doc_id", "i", off.alias("off"), F.slice("w", off + 1, F.lit(2 * reach + 1)).alias("w"), F.explode(tried).alias("seed"))
+    # several hits of one overlay are judged each: to tell them apart first would shuffle the words of all chance hits
+    laid = near.join(hint(keyed.select("seed", "item_id", "j")), "seed").select("doc_id", "item_id", "w", "off", (F.col("i") - F.col("j")).alias("start"))
     # the item laid over the document: its word k against word start + k
     at = F.col("start") - F.col("off")
     equal = F.transform(F.col("b"), lambda b, k: F.coalesce((F.col("start") + k >= 0) & (F.get(F.col("w"), F.greatest(at + k, F.lit(0))) == b), F.lit(False)))
