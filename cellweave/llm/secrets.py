@@ -3,15 +3,19 @@
 The scan runs in DataFrame functions only. The forest is trained in numpy, on
 the driver, from labelled findings, and becomes one column expression. Features:
 candidate length and composition, transitions between character classes,
-coverage by dictionary words, the path, and the neighbouring words.
+coverage by dictionary words, and what the path and the neighbouring words say:
+the log-odds, learned from the findings, of each word there among secrets and
+among others. While the forest is trained, these come from the half of the
+findings that a finding isn't in.
 """
 
 from __future__ import annotations
 
 import base64
 import random
+import re
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -29,10 +33,7 @@ KEYED = "token|secret|passw|pwd|api[_-]?key|apikey|auth|bearer|credential|access
 PREFIX = "AKIA|ASIA|gh[pousr]_|github_pat_|sk_live|sk-|xox[bap]-|AIza|eyJ|glpat-|npm_"
 #: What is assigned to a telling name, at the end of the text: of any length, up to a space, quote or separator.
 ASSIGNED = rf"(?i)(?:{KEYED})[A-Za-z0-9_.\-]*[\"'`\])]*\s*[=:]+>?\s*[\"'`]?(?:(?:bearer|basic)\b[\"'`]?\s*[=:]*>?\s*[\"'`]?)?+([^\s\"'`,;<>=:][^\s\"'`,;<>]*)(?=\S*$)"
-HARMLESS = "commit|sha1|sha256|sha512|md5|checksum|digest|uuid|guid|etag|hash|revision|integrity|example|sample|dummy|fake|placeholder|redacted|build|blob|tree|merge|order|invoice|isbn|doi"
-TEST_PATH = "test|spec|fixture|mock|example|sample|doc|demo|lock|snap|vendor|node_modules|dist|min[.]"
-
-FEATURES = ["length", "digits", "upper", "lower", "symbols", "distinct", "class_changes", "case_changes", "repeats", "vowel_pairs", "rare_pairs", "hex_only", "words", "keyed", "assigned", "harmless", "test_path", "prefix", "separators"]
+FEATURES = ["length", "digits", "upper", "lower", "symbols", "distinct", "class_changes", "case_changes", "repeats", "vowel_pairs", "rare_pairs", "hex_only", "words", "assigned", "prefix", "separators", "neighbours", "path_words"]
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,20 @@ class Config:
     #: The forest learns from at most this many findings of each label, by hash of the finding.
     rows_per_label: int = 4_000
     least_probability: float = 0.5
+    #: Words of the neighbourhood or path count if this many findings have them; this many that tell most are kept.
+    least_findings: int = 5
+    most_words: int = 300
     seed: int = 2
 
 
+@dataclass
+class Forest:
+    trees: list = field(default_factory=list)
+    #: Log-odds of words beside a candidate, and in its path.
+    neighbours: dict[str, float] = field(default_factory=dict)
+    path_words: dict[str, float] = field(default_factory=dict)
+
+
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, position (word), candidate, before (three words), after (two words), path."""
     w = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col(path).cast("string").alias("path"), F.split("text", r"[ \t\n\x0B\f\r]+").alias("w"))
@@ -67,13 +79,33 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     )
 
 
-def features(found: DataFrame) -> DataFrame:
+def _log_odds(texts: list[str], labels: list[int], config: Config) -> dict[str, float]:
+    """Log-odds of each word among the texts of label 1 and of label 0."""
+    seen: dict[str, list[int]] = {}
+    for text, label in zip(texts, labels, strict=True):
+        for w in set(re.findall("[a-z]+", text.lower())):
+            seen.setdefault(w, [0, 0])[label] += 1
+    n = [labels.count(0) + 2, labels.count(1) + 2]
+    told = {w: float(np.log((c[1] + 1) / n[1]) - np.log((c[0] + 1) / n[0])) for w, c in seen.items() if sum(c) >= config.least_findings}
+    return dict(sorted(told.items(), key=lambda x: (-abs(x[1]), x[0]))[: config.most_words])
+
+
+def _said(text: Column, odds: dict[str, float]) -> Column:
+    """The sum of the log-odds of a text's distinct words."""
+    if not odds:
+        return F.lit(0.0)
+    table = F.create_map(*(F.lit(x) for item in odds.items() for x in item))
+    known = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1)), lambda w: F.coalesce(F.try_element_at(table, w), F.lit(0.0)))
+    return F.aggregate(known, F.lit(0.0), lambda a, b: a + b)
+
+
+def features(found: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """Add the columns of FEATURES to candidate, before, after and path."""
     c, low = F.col("candidate"), F.lower("candidate")
     n = F.length(c).cast("double")
     per = lambda pattern, of=c: F.regexp_count(of, F.lit(pattern)) / n
     known = "|".join(sorted((x for x in DICTIONARY if len(x) > 3), key=lambda x: (-len(x), x)))
-    context, path = F.lower(F.concat_ws(" ", "before", "after")), F.lower(F.coalesce("path", F.lit("")))
+    context, path = F.concat_ws(" ", "before", "after"), F.coalesce("path", F.lit(""))
     yes = lambda column, pattern: column.rlike(pattern).cast("double")
     columns = {
         "length": n,
@@ -89,12 +121,11 @@ def features(found: DataFrame) -> DataFrame:
         "rare_pairs": per("(?=[bcdfghjklmnpqrstvwxz]{3})|[jqxz](?=[^aeiou])", low),
         "hex_only": yes(low, "^[0-9a-f]+$"),
         "words": 1 - F.length(F.regexp_replace(low, known, "")) / n,
-        "keyed": yes(context, KEYED),
         "assigned": yes(F.col("before"), r"[=:]\s*[\"'`]?\s*$"),
-        "harmless": yes(context, HARMLESS),
-        "test_path": yes(path, TEST_PATH),
         "prefix": yes(c, f"^({PREFIX})"),
         "separators": per(r"[-_./]"),
+        "neighbours": _said(context, forest.neighbours),
+        "path_words": _said(path, forest.path_words),
     }
     # through a generator: else the optimizer would repeat each feature wherever a tree asks for it
     row = F.struct(*(F.coalesce(v.cast("double"), F.lit(0.0)).alias(k) for k, v in columns.items()))
@@ -194,15 +225,26 @@ def forest_column(trees: list) -> Column:
     return reduce(lambda a, b: a + b, map(_tree, trees)) / float(len(trees)) if trees else F.lit(0.0)
 
 
-def fit(findings: DataFrame, config: Config = Config()) -> list:
+def fit(findings: DataFrame, config: Config = Config()) -> Forest:
     """A forest from labelled findings (candidate, before, after, path, label 0 or 1); without any, no trees."""
-    known = findings.where(F.col("label").isin(0, 1) & F.col("candidate").isNotNull())
+    known = findings.where(F.col("label").isin(0, 1) & F.col("candidate").isNotNull()).withColumn("half", F.pmod(F.xxhash64("candidate"), F.lit(2)))
     draw = F.xxhash64(F.lit(config.seed), "candidate", "before", "after")
     parts = [known.where(F.col("label") == v).orderBy(draw).limit(config.rows_per_label) for v in (0, 1)]
-    rows = features(parts[0].unionByName(parts[1])).select("label", *FEATURES).collect()
+    chosen = parts[0].unionByName(parts[1])
+    rows = chosen.select("half", "label", F.concat_ws(" ", "before", "after").alias("context"), F.coalesce("path", F.lit("")).alias("path")).collect()
     if not rows:
-        return []
-    return grow_forest(np.array([[r[f] for f in FEATURES] for r in rows], float), np.array([r["label"] for r in rows]), config)
+        return Forest()
+
+    def odds(of) -> Forest:
+        own = [r for r in rows if of(r["half"])]
+        labels = [r["label"] for r in own]
+        return Forest([], _log_odds([r["context"] for r in own], labels, config), _log_odds([r["path"] for r in own], labels, config))
+
+    seen = [features(chosen.where(F.col("half") == h), odds(lambda x, h=h: x != h)) for h in (0, 1)]
+    table = seen[0].unionByName(seen[1]).select("label", *FEATURES).collect()
+    forest = odds(lambda h: True)
+    forest.trees = grow_forest(np.array([[r[f] for f in FEATURES] for r in table], float), np.array([r["label"] for r in table]), config)
+    return forest
 
 
 def scan(docs: DataFrame, findings: DataFrame, config: Config = Config(), path: str = "source") -> DataFrame:
@@ -211,9 +253,9 @@ def scan(docs: DataFrame, findings: DataFrame, config: Config = Config(), path:
     Null and empty texts and null doc_ids have none. Repeated rows report each.
     A null path counts as empty. Other columns are ignored.
     """
-    trees = fit(findings, config)
+    forest = fit(findings, config)
     # few rows are left here; dealt out anew, so that the forest's large expression has a stage of its own
-    scored = features(candidates(docs, path).repartition("doc_id", "position")).withColumn("probability", F.explode(F.array(forest_column(trees))))
+    scored = features(candidates(docs, path).repartition("doc_id", "position"), forest).withColumn("probability", F.explode(F.array(forest_column(forest.trees))))
     return scored.where(F.col("probability") >= config.least_probability).select("doc_id", "position", F.col("candidate").alias("secret"), "path", "probability")
 
 
