@@ -25,6 +25,29 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), m AS (
+  SELECT a, min(b) AS b FROM r GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = d.doc_id
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = secrets.scan(table(spark, sf_dir, "documents"), secrets.findings_table(spark))
     return done.select("doc_id", "position", "secret", "path", F.round("probability", 6).alias("probability"))
@@ -104,4 +127,4 @@ QUERIES: dict[str, Query] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_html_extraction": op10_html_extraction,
 }
-SQL: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op9_line_dedup": OP9_SQL}

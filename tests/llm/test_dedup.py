@@ -260,6 +260,16 @@ def test_long_sentence_between_other_neighbours(spark):
     assert kept[0] == rows[0][1] and all(kept[i] == rows[i][1].replace(long_ + " ", "").replace(long_, "") for i in (1, 2, 3))
 
 
+def test_remove_repeats_odd_rows(spark):
+    """Clashing names, null ids, repeated rows, rows of one id with different texts, an empty table."""
+    long_ = " ".join(words(30, 1)) + "."
+    rows = [(1, f"Begin. {long_} End."), (2, f"{long_} Other."), (2, f"{long_} Other."), (2, "Quite another text."), (None, long_), (3, None), (4, "")]
+    df = docs(spark, rows).withColumnsRenamed({"lang": "__text", "source": "__gone", "n_chars": "__doc"}).withColumn("t", F.lit("t")).withColumn("kept", F.lit(0))
+    got = sorted((str(x["doc_id"]), x["kept"]) for x in spans.remove_repeats(df).collect())
+    assert got == sorted([("1", rows[0][1]), ("2", "Other."), ("2", "Other."), ("2", "Quite another text."), ("None", long_), ("3", ""), ("4", "")])
+    assert spans.remove_repeats(df.limit(0)).count() == 0
+
+
 def test_sentences_are_the_text():
     for t in ("a. b? c!\n\nd", "", "no end", "x...  y\n", "\n\na."):
         assert "".join(t[a:b] for a, b in spans.sentences(t)) == t
