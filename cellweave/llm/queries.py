@@ -54,9 +54,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document that loses sentences and document that first has them."""
-    done = spans.repeated_spans(table(spark, sf_dir, "documents"))
-    return done.groupBy("doc_id", "first_doc_id").agg(F.min("start").alias("first_sentence"), F.max("stop").alias("end_sentence"), F.count("*").alias("n_spans"))
+    """One row per document that loses sentences and document that first has them, with a digest of the text that stays; all other documents stay whole."""
+    done = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), spans_into="spans").where("spans IS NOT NULL")
+    told = done.select("doc_id", F.char_length("kept").cast("long").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"), F.explode("spans").alias("span"))
+    return told.groupBy("doc_id", F.col("span.first_doc_id").alias("first_doc_id"), "kept_chars", "kept_sha256").agg(
+        F.min("span.start").alias("first_sentence"), F.max("span.stop").alias("end_sentence"), F.count("*").alias("n_spans")
+    ).select("doc_id", "first_doc_id", "first_sentence", "end_sentence", "n_spans", "kept_chars", "kept_sha256")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Substring dedup over sliding runs of sentences.
 
-From every sentence starts one run: the shortest run of at least `least`
-sentences that has at least `words` words. A sentence that has as many words by
-itself is a run too. Runs are hashed (96 bits) and joined
-globally; the occurrence with the smallest (doc_id, sentence) is the first, and
-every sentence that a later occurrence covers is removed.
+A run is `least` or more consecutive sentences with at least `words` words, or one
+sentence that has as many by itself. From every sentence the shortest run that starts
+and the shortest that ends there are hashed (96 bits) and joined globally: together
+they cover what all runs cover. The occurrence with the smallest (doc_id, sentence) is
+the first, and every sentence that a later occurrence covers is removed.
 """
 
 from __future__ import annotations
@@ -38,19 +38,20 @@ def runs(text: str | None, least: int, words: int) -> list[tuple[int, int, bytes
     if not text:
         return []
     parts = [text[a:b].lower().split() for a, b in sentences(text)]
-    sizes = np.cumsum([0, *map(len, parts)])
-    n, out = len(parts), []
+    # white space before the first words is no sentence: with it, the run after it would repeat itself
+    at = [k for k, p in enumerate(parts) if p]
+    parts = [parts[k] for k in at]
+    sizes, n = np.cumsum([0, *map(len, parts)]), len(parts)
     if sizes[-1] < words:
-        return out
+        return []
     ends = np.maximum(np.searchsorted(sizes, sizes[:-1] + words, "left"), np.arange(n) + least)
+    # those that end at a sentence too: what is left at the end of a repeated passage may be too short to start one
+    starts = np.minimum(np.searchsorted(sizes, sizes[1:] - words, "right") - 1, np.arange(n) + 1 - least)
+    found = {(i, e) for i, e in enumerate(ends.tolist()) if e <= n} | {(i, e) for e, i in enumerate(starts.tolist(), 1) if i >= 0}
+    # also alone: its neighbours may differ where it is repeated
+    found |= {(i, i + 1) for i, p in enumerate(parts) if len(p) >= words}
     norm = [" ".join(p) for p in parts]
-    for i, e in enumerate(ends.tolist()):
-        # also alone: its neighbours may differ where it is repeated
-        if e > i + 1 and len(parts[i]) >= words:
-            out.append((i, i + 1, norm[i].encode()))
-        if e <= n:
-            out.append((i, e, " ".join(norm[i:e]).encode()))
-    return out
+    return [(at[i], at[e - 1] + 1, " ".join(norm[i:e]).encode()) for i, e in sorted(found)]
 
 
 def run_table(docs: DataFrame, least: int, words: int) -> DataFrame:
@@ -91,16 +92,19 @@ def repeated_spans(docs: DataFrame, *, least: int = 2, words: int = 16, with_tex
     return found.join(first, ["h1", "h2"]).where("doc_id <> first_doc_id OR start <> first_start").select("doc_id", *(["t"] if with_text else []), "start", "stop", "first_doc_id", "first_start")
 
 
-def remove_repeats(docs: DataFrame, *, least: int = 2, words: int = 16, into: str = "kept") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, least: int = 2, words: int = 16, into: str = "kept", spans_into: str | None = None) -> DataFrame:
     """Add column `into`: the text without sentences that a non-first repeated run covers ("" for null).
 
-    Own columns of that name are replaced, all others and repeated rows pass
+    With `spans_into`, a column of that name holds those runs: an array of structs of
+    start, stop, first_doc_id and first_start as `repeated_spans` gives them, null where
+    nothing goes. Own columns of these names are replaced, all others and repeated rows pass
     through. Rows with a null doc_id lose nothing; of rows that repeat a doc_id
     with different texts each loses what is repeated in its own.
     """
     spans = repeated_spans(docs, least=least, words=words, with_text=True)
-    keep = [c for c in docs.columns if c != into]
-    gone = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop")).alias("gone")).toDF("doc", "t", "gone").alias("g")
+    keep = [c for c in docs.columns if c not in (into, spans_into)]
+    run = ["start", "stop", *(["first_doc_id", "first_start"] if spans_into else [])]
+    gone = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct(*run)).alias("gone")).toDF("doc", "t", "gone").alias("g")
     by_name = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     n = len(keep)
 
@@ -110,9 +114,9 @@ def remove_repeats(docs: DataFrame, *, least: int = 2, words: int = 16, into: st
             for text, cuts in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 lost = {i for c in cuts or () for i in range(c["start"], c["stop"])}
                 out.append("".join(text[a:b] for i, (a, b) in enumerate(sentences(text)) if i not in lost) if lost else text or "")
-            yield pa.record_batch([*(batch.column(i) for i in range(n)), pa.array(out, pa.string())], names=[*keep, into])
+            yield pa.record_batch([*(batch.column(i) for i in range(n)), pa.array(out, pa.string()), *([batch.column(n + 1)] if spans_into else [])], names=[*keep, into, *([spans_into] if spans_into else [])])
 
     own = docs.alias("d")
     here = (F.col("d.doc_id") == F.col("g.doc")) & (F.xxhash64("d.text") == F.col("g.t"))
     joined = own.join(gone, here, "left").select(*(F.col(f"d.`{c}`") for c in keep), F.col("d.text").alias(unused(keep)), F.col("g.gone").alias(unused(keep, "__gone")))
-    return joined.mapInArrow(go, ", ".join([*(f"`{c}` {by_name[c]}" for c in keep), f"`{into}` string"]))
+    return joined.mapInArrow(go, ", ".join([*(f"`{c}` {by_name[c]}" for c in keep), f"`{into}` string", *([f"`{spans_into}` array<struct<start:int,stop:int,first_doc_id:bigint,first_start:int>>"] if spans_into else [])]))

@@ -1,5 +1,6 @@
 """The registered queries on the smallest tables: columns, types, rows, and values by ways that share no code with the operators."""
 
+import hashlib
 import html as decoder
 import os
 import re
@@ -145,6 +146,44 @@ def test_repeated_sentences(results):
     assert {(r.doc_id, r.first_doc_id) for r in rows.itertuples()} == want
 
 
+def test_removed_sentences(results):
+    """What op3 says stays of a text: all but the sentences of any run, however long, that an earlier place has."""
+    types, rows = results("op3_substring_dedup")
+    assert types == {"doc_id": "bigint", "first_doc_id": "bigint", "first_sentence": "int", "end_sentence": "int", "n_spans": "bigint", "kept_chars": "bigint", "kept_sha256": "string"}
+    texts, grams = {}, defaultdict(int)
+    for r in table("documents").itertuples():
+        parts = re.findall(r"(?s).+?(?:(?<=[.!?])\s+|\n\s*|\Z)", r.text or "")
+        assert "".join(parts) == (r.text or "") and all(p.strip() for p in parts)
+        words = [p.lower().split() for p in parts]
+        flat = [w for p in words for w in p]
+        texts[r.doc_id] = parts, words
+        for g in zip(*(flat[k:] for k in range(16)), strict=False):
+            grams[g] += 1
+    places = defaultdict(set)
+    for d, (parts, words) in texts.items():
+        for i in range(len(parts)):
+            run = []
+            for j in range(i, len(parts)):
+                run += words[j]
+                if len(run) >= 16:
+                    # a run with 16 words in a row that are nowhere else is nowhere else, and no longer one is
+                    if any(grams[tuple(run[k : k + 16])] < 2 for k in range(max(0, len(run) - len(words[j]) - 15), len(run) - 15)):
+                        break
+                    places[" ".join(run)].add((d, i, j + 1))
+    gone = defaultdict(set)
+    for found in places.values():
+        first = min(found)[:2]
+        for d, i, j in found:
+            if (d, i) != first:
+                gone[d] |= set(range(i, j))
+    want = {}
+    for d, lost in gone.items():
+        kept = "".join(p for k, p in enumerate(texts[d][0]) if k not in lost)
+        want[d] = (len(kept), hashlib.sha256(kept.encode()).hexdigest())
+    assert want and {r.doc_id: (r.kept_chars, r.kept_sha256) for r in rows.itertuples()} == want
+    assert all(set(range(r.first_sentence, r.end_sentence)) & gone[r.doc_id] for r in rows.itertuples())
+
+
 def test_benchmark_passages(results):
     """Documents that hold ten words of an item in a row, by plain search of strings."""
     norm = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -270,6 +271,58 @@ def test_remove_repeats_odd_rows(spark):
     assert spans.remove_repeats(df.limit(0)).count() == 0
 
 
+def covered(rows, least, n):
+    """Sentences of each row in any run at all, however long, that an earlier place has; shares no code with the operator."""
+    places, sizes = defaultdict(set), {}
+    for i, t in rows:
+        parts = [p.lower().split() for p in re.split(r"(?<=[.!?])\s+|\n\s*", t)]
+        assert all(parts)
+        sizes[i] = len(parts)
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                content = " ".join(w for p in parts[a:b] for w in p)
+                if content.count(" ") + 1 >= n and (b - a >= least or b - a == 1):
+                    places[content].add((i, a, b))
+    gone = defaultdict(set)
+    for found in places.values():
+        first = min(found)[:2]
+        for i, a, b in found:
+            if (i, a) != first:
+                gone[i] |= set(range(a, b))
+    return gone, sizes
+
+
+def test_every_run_counts(spark):
+    """Short sentences at the end of a repeated passage go with it, though no run of 16 words starts there."""
+    r = random.Random(5)
+    pool = [" ".join(words(r.choice([2, 3, 6, 9, 12, 20]), 500 + i)) + "." for i in range(40)]
+    rows = []
+    for i in range(30):
+        a, own = r.randrange(30), " ".join(words(4, 900 + i)) + "."
+        rows.append((i, " ".join([own, *pool[a : a + r.randrange(2, 9)], own.replace(".", "?")])))
+    rows += [(30, "Aa bb cc dd ee ff gg hh. Ii jj kk ll mm nn oo pp. Qq rr. Ss."), (31, "Other. Aa bb cc dd ee ff gg hh. Ii jj kk ll mm nn oo pp. Qq rr. Ss. Then another.")]
+    gone, sizes = covered(rows, 2, 16)
+    assert gone[31] == {1, 2, 3, 4}
+    got = defaultdict(set)
+    for x in spans.repeated_spans(docs(spark, rows)).collect():
+        got[x["doc_id"]] |= set(range(x["start"], x["stop"]))
+    assert got == {i: g for i, g in gone.items() if g}
+    kept = {x["doc_id"]: x for x in spans.remove_repeats(docs(spark, rows), spans_into="runs").collect()}
+    for i, t in rows:
+        parts = [t[a:b] for a, b in spans.sentences(t)]
+        assert len(parts) == sizes[i] and kept[i]["kept"] == "".join(p for k, p in enumerate(parts) if k not in gone[i])
+        assert {k for s in kept[i]["runs"] or () for k in range(s["start"], s["stop"])} == gone[i]
+    assert kept[31]["kept"] == "Other. Then another." and {s["first_doc_id"] for s in kept[31]["runs"]} == {30}
+
+
+def test_white_space_before_the_text(spark):
+    """A text that begins with a line end does not repeat itself."""
+    one, two = " ".join(words(20, 1)) + ".", " ".join(words(9, 2)) + ". " + " ".join(words(9, 3)) + "."
+    rows = [(0, f"\n{one}"), (1, f" \n\n{two} End."), (2, f"{two} Else."), (3, f"\n \n{one}")]
+    kept = {x["doc_id"]: x["kept"] for x in spans.remove_repeats(docs(spark, rows)).collect()}
+    assert kept == {0: rows[0][1], 1: rows[1][1], 2: "Else.", 3: "\n \n"}
+
+
 def test_sentences_are_the_text():
     for t in ("a. b? c!\n\nd", "", "no end", "x...  y\n", "\n\na."):
         assert "".join(t[a:b] for a, b in spans.sentences(t)) == t
