@@ -241,7 +241,7 @@ _HOURS = "epoch_us(ts) / 3600000000.0"
     "SELECT ts, round(CASE WHEN i = 1 THEN (fa - f) / hd WHEN i = n THEN (f - fb) / hs ELSE (hs * hs * fa + (hd * hd - hs * hs) * f - hd * hd * fb) / (hs * hd * (hd + hs)) END, 2) AS v FROM y"
 )
 def differentiate(spark: SparkSession, d: str) -> DataFrame:
-    return out(e1(spark, d).differentiate("ts", datetime_unit="h"), 2)
+    return out(e1(spark, d).differentiate("ts", datetime_unit="h", nan=True), 2)
 
 
 @query(

@@ -644,8 +644,9 @@ class Lattice:
         targets = table.select(F.col("new").alias(pos(dim)), F.col("label").alias(dim))
         return self._per_group(dim, lambda g: scans.interp(g, dim, targets, n, method, self.sizes, self._layout), n)
 
-    def differentiate(self, coord: str, edge_order: int = 1, datetime_unit: str | None = None) -> Lattice:
-        return self._per_group(coord, lambda g: scans.differentiate(g, coord, edge_order, datetime_unit, self.sizes, self._layout))
+    def differentiate(self, coord: str, edge_order: int = 1, datetime_unit: str | None = None, nan: bool = False) -> Lattice:
+        """nan: where repeated labels leave 0 / 0, NaN in place of a missing value."""
+        return self._per_group(coord, lambda g: scans.differentiate(g, coord, edge_order, datetime_unit, nan, self.sizes, self._layout))
 
     # -- indexing -------------------------------------------------------------
 

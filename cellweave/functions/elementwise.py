@@ -59,6 +59,12 @@ def divide(a: Column, b: Column) -> Column:
     return F.when(b != 0, no_nan(F.try_divide(a, b))).when((b == 0) & (a > 0), F.lit(INF)).when((b == 0) & (a < 0), F.lit(-INF))
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """As divide, but 0 / 0 is NaN."""
+    a, b = a.cast("double"), b.cast("double")
+    return F.when(b == 0, a * INF).otherwise(F.try_divide(a, b))
+
+
 def floor_divide(a: Column, b: Column, kind: Kind) -> Column:
     """Rounds towards minus infinity; integers by zero give 0, as arrays do."""
     if kind == "float":

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.elementwise import as_column, divide, no_nan
+from ..functions.elementwise import as_column, divide, ieee_divide, no_nan
 from ..plans.positions import neighbours
 from ..plans.windows import Layout, along, pos, scan, stencil
 from ..schema import Group
@@ -237,8 +237,11 @@ def _as_number(df: DataFrame, dim: str, unit_us: int = 1) -> Column:
 UNITS = {"us": 1, "ms": 10**3, "s": 10**6, "m": 60 * 10**6, "min": 60 * 10**6, "h": 3600 * 10**6, "D": 86_400 * 10**6, "W": 7 * 86_400 * 10**6}
 
 
-def differentiate(group: Group, dim: str, edge_order: int, datetime_unit: str | None, sizes: Sizes, layout: Layout) -> Group:
-    """Second-order differences on unequal steps; one-sided of order 1 or 2 at the ends."""
+def differentiate(group: Group, dim: str, edge_order: int, datetime_unit: str | None, nan: bool, sizes: Sizes, layout: Layout) -> Group:
+    """Second-order differences on unequal steps; one-sided of order 1 or 2 at the ends.
+
+    Steps of zero (repeated labels) give signed infinities, and 0 / 0 a NaN (nan) or a missing value.
+    """
     if edge_order not in (1, 2):
         raise ValueError("edge_order is 1 or 2")
     if sizes[dim] < edge_order + 1:
@@ -247,25 +250,25 @@ def differentiate(group: Group, dim: str, edge_order: int, datetime_unit: str |
     frame = frame.withColumn("__x", _as_number(frame, dim, UNITS[datetime_unit or "us"]))
 
     def make(w: WindowSpec) -> dict[str, Column]:
-        x, out = F.col("__x"), {}
-        at = lambda c, k: F.lag(c, -k).over(w) if k < 0 else F.lead(c, k).over(w) if k else F.col(c)
-        hs, hd = x - at("__x", -1), at("__x", 1) - x
-        for v in names:
-            f, back, ahead = F.col(v).cast("double"), at(v, -1), at(v, 1)
-            inner = (hs * hs * ahead + (hd * hd - hs * hs) * f - hd * hd * back) / (hs * hd * (hd + hs))
-            if edge_order == 1:
-                lo, hi = (ahead - f) / hd, (f - back) / hs
-            else:
-                h1, h2 = hd, at("__x", 2) - at("__x", 1)
-                lo = -(2 * h1 + h2) / (h1 * (h1 + h2)) * f + (h1 + h2) / (h1 * h2) * ahead - h1 / (h2 * (h1 + h2)) * at(v, 2)
-                g1, g2 = at("__x", -1) - at("__x", -2), hs
-                hi = g2 / (g1 * (g1 + g2)) * at(v, -2) - (g2 + g1) / (g1 * g2) * back + (2 * g2 + g1) / (g2 * (g1 + g2)) * f
-            p = F.col(pos(dim))
-            out[f"__new_{v}"] = no_nan(F.when(p == 0, lo).when(p == sizes[dim] - 1, hi).otherwise(inner))
-        return out
+        return {f"__{side}{k}_{c}": fn(c, k).over(w) for side, fn in (("lag", F.lag), ("lead", F.lead)) for k in range(1, edge_order + 1) for c in ("__x", *names)}
 
     df = stencil(frame, group.dims, dim, sizes, 2, 2, make, layout)
-    return _renamed(group, df, names, dict.fromkeys(names, "float"))
+    at = lambda c, k: F.col(f"__lag{-k}_{c}" if k < 0 else f"__lead{k}_{c}" if k else c)
+    x, p, made = F.col("__x"), F.col(pos(dim)), {}
+    hs, hd = x - at("__x", -1), at("__x", 1) - x
+    for v in names:
+        f, back, ahead = F.col(v).cast("double"), at(v, -1), at(v, 1)
+        inner = ieee_divide(hs * hs * ahead + (hd * hd - hs * hs) * f - hd * hd * back, hs * hd * (hd + hs))
+        if edge_order == 1:
+            lo, hi = ieee_divide(ahead - f, hd), ieee_divide(f - back, hs)
+        else:
+            h1, h2 = hd, at("__x", 2) - at("__x", 1)
+            lo = ieee_divide(-(2 * h1 + h2), h1 * (h1 + h2)) * f + ieee_divide(h1 + h2, h1 * h2) * ahead - ieee_divide(h1, h2 * (h1 + h2)) * at(v, 2)
+            g1, g2 = at("__x", -1) - at("__x", -2), hs
+            hi = ieee_divide(g2, g1 * (g1 + g2)) * at(v, -2) - ieee_divide(g2 + g1, g1 * g2) * back + ieee_divide(2 * g2 + g1, g2 * (g1 + g2)) * f
+        value = F.when(p == 0, lo).when(p == sizes[dim] - 1, hi).otherwise(inner)
+        made[f"__new_{v}"] = value if nan else no_nan(value)
+    return _renamed(group, df.withColumns(made), names, dict.fromkeys(names, "float"))
 
 
 def _spline(x: np.ndarray, y: np.ndarray, t: np.ndarray, degree: int) -> np.ndarray:
