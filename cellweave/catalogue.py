@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import Lattice, apply_named
+from .functions.elementwise import rounded_away
 from .operators import exact
 from .plans import halos
 
@@ -78,7 +79,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 def out(x: Lattice, digits: int = 4, name: str | None = None) -> DataFrame:
     """Rows without positions, floats rounded."""
     df = x.to_table(name)
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    return df.select(*(rounded_away(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 # -- reductions -----------------------------------------------------------------

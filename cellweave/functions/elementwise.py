@@ -149,6 +149,11 @@ def rounded(a: Column, digits: int = 0) -> Column:
     return F.bround(a, digits)
 
 
+def rounded_away(a: Column, digits: int) -> Column:
+    """Half away from zero, as SQL rounds; what is below zero rounds to -0.0 at most, where F.round gives 0.0."""
+    return F.abs(F.round(a, digits)) * F.signum(a)
+
+
 def clip(a: Column, lo: object = None, hi: object = None) -> Column:
     out = a
     if lo is not None:

@@ -47,3 +47,11 @@ def test_differentiate_repeated_labels(spark, layout, order):
     np.testing.assert_array_equal(made.differentiate("t", order).to_numpy(), want)
     told = {p: v for p, v in made.differentiate("t", order, nan=True).frame().select("__pos_t", "v").collect()}
     np.testing.assert_array_equal([told[i] for i in range(len(t))], want)
+
+
+def test_divide_by_zero_signs(spark, tmp_path):
+    """What rounds to zero keeps its sign."""
+    prices = ["0.0", "-0.0", "49999.99", "50000.0", "50000.01", "100000.0", "149999.99", "150000.0", "150000.01", "250000.0", "450000.0", "-60000.0", "1e300", "'inf'::DOUBLE", "'-inf'::DOUBLE", "NULL"]
+    rows = ", ".join(f"({i}, ({p})::DOUBLE)" for i, p in enumerate(prices))
+    values = equal(spark, tmp_path, "orders", "divide_by_zero", f"SELECT i AS o_orderkey, p AS o_totalprice FROM (VALUES {rows}) x(i, p)")
+    assert sum(v is not None and np.signbit(v) for v in values) == 6 and values.count(np.inf) == 3
